@@ -8,13 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import lookalike, sentences, terms, tokens
+from . import languages, leakage, lookalike, sentences, spans, terms, tokens
 
 
 def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "library_docs").select("id", "content"))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = spread(table(spark, sf_dir, "checks").select("id", "report"))
+    return spans.texts_of(_library(spark, sf_dir), checks)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_records(spans.shared_passages(_records(spark, sf_dir)))
+
+
+def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages shared by two records, exact or with small differences."""
+    return spans.shared_passages(_records(spark, sf_dir)).drop("runs")
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each record stands verbatim in another record."""
+    records = _records(spark, sf_dir)
+    return spans.shared_share(spans.shared_passages(records), records)
+
+
 def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _library(spark, sf_dir)
     return terms.marked(terms.term_counts(docs, "id", "content"), docs, "id", "content").drop("n")
@@ -38,6 +58,21 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.pieces_in_sentences(_library(spark, sf_dir), table(spark, sf_dir, "sentences"))
 
 
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language and further passages of every record, with confidences."""
+    docs = spread(table(spark, sf_dir, "library_docs").select("id", "content", "lang"))
+    checks = spread(table(spark, sf_dir, "checks").select("id", "language", "report"))
+    machines = languages.fit(docs, "lang", "content")
+    return languages.identify(languages.records(docs, checks), machines).drop("label").distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "library_docs").select("id", "content", "lang"))
+    checks = spread(table(spark, sf_dir, "checks").select("id", "language", "report"))
+    machines = languages.fit(docs, "lang", "content")
+    return languages.wrong_or_further(languages.identify(languages.records(docs, checks), machines))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_pairs(_library(spark, sf_dir), "id", "content")
 
@@ -55,12 +90,16 @@ def p5_sentence_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key.doc_id", "key.idx", F.col("class_key.doc_id").alias("class_doc"), F.col("class_key.idx").alias("class_idx"), "form")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(_library(spark, sf_dir), "id", "content", table(spark, sf_dir, "aigc_eval"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p5_found, p5_library_forms, p5_sentence_forms, p7_ids]
+    own = [p1_found, p1_passages, p1_shares, p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p4_found, p4_languages, p5_found, p5_library_forms, p5_sentence_forms, p6_found, p7_ids]
     return {f.__name__: f for f in own}
 
 
