@@ -4,8 +4,8 @@ Discrimination is hierarchical: the script of a sentence's letters gives its
 family, and one-versus-one linear support vector machines over hashed
 character n-grams tell the languages of a family apart. The machines are
 fitted on the driver from a bounded sample of labelled rows; sentences that
-contradict their label in a first fit, as wrong labels and mixed texts do, are
-left out of the second. Classification is a map over whole texts, sentence by
+contradict their label in an earlier fit, as wrong labels and mixed texts do,
+are left out of the next. Classification is a map over whole texts, sentence by
 sentence.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lookalike import same_form
+from .lookalike import INVISIBLE, same_form
 from .sentences import split
 
 #: Languages by family.
@@ -30,8 +30,11 @@ LANGUAGES = tuple(sorted(c for f in FAMILIES.values() for c in f))
 NO_LABEL = ("", "und", "unknown")
 #: Labelled rows per language that the machines are fitted on, and the longest text among them.
 SAMPLE_ROWS, SAMPLE_CHARS = 150, 4000
+#: Sentences per language among them.
+SAMPLE_SENTENCES = 500
 #: Letters a sentence needs to count as a passage of its own (headings and codes do not).
 LEAST_LETTERS = {"latin": 25, "cyrillic": 20, "thai": 15, "han": 8}
+_WORDS = re.compile(r"[^\W\d_]+")
 _DIMS = 1 << 13
 _BASE = np.uint32(0x01000193)
 
@@ -46,50 +49,78 @@ COMMON_WORDS = {
     "ja": "のにはをたがでとしてれさあるいるもするからなことなっこのそのという本研究では",
 }
 
-_SCRIPTS = (
-    ("han", re.compile("[ぁ-ヿ㐀-鿿々]")),
-    ("thai", re.compile("[ก-๎]")),
-    ("cyrillic", re.compile("[Ѐ-ӿ]")),
-    ("latin", re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")),
-)
-#: Signs of a script that carry about as much text as one Latin letter carries.
-_WEIGHT = {"han": 2.5, "thai": 1.0, "cyrillic": 1.0, "latin": 1.0}
-
-
-def family(text: str) -> tuple[str | None, int, float]:
-    """(family of most letters, its letters, its share of all letters)."""
-    if text.isascii():
-        n = len(_SCRIPTS[3][1].findall(text))
-        return ("latin", n, 1.0) if n else (None, 0, 0.0)
-    counts = {f: len(p.findall(text)) for f, p in _SCRIPTS}
-    total = sum(counts[f] * _WEIGHT[f] for f in counts)
-    if not total:
-        return None, 0, 0.0
-    top = max(counts, key=lambda f: counts[f] * _WEIGHT[f])
-    return top, counts[top], counts[top] * _WEIGHT[top] / total
-
-
-def _letters(text: str) -> str:
-    return " " + re.sub(r"[^\w]|[\d_]", " ", same_form(text)).lower() + " "
+_NAMES = ("latin", "cyrillic", "thai", "han")
+_RANGES = {
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)),
+    "cyrillic": ((0x400, 0x4FF),),
+    "thai": ((0xE01, 0xE4E),),
+    "han": ((0x3041, 0x30FF), (0x3400, 0x9FFF), (0xFF66, 0xFF9F), (0x2F00, 0x2FD5), (0x3005, 0x3005)),
+}
+#: How much text a letter carries, in Latin letters.
+_WEIGHT = np.array([1.0, 1.0, 1.0, 2.5])
+_PLAIN: list[np.ndarray] = []  # built once per process: script and plain lower-case letter of each BMP character
+
+
+def _tables() -> list[np.ndarray]:
+    if not _PLAIN:
+        script = np.full(1 << 16, len(_NAMES), np.uint8)
+        for k, name in enumerate(_NAMES):
+            for low, high in _RANGES[name]:
+                script[low : high + 1] = k
+        letter = np.full(1 << 16, 32, np.uint32)
+        for c in range(1 << 16):
+            sign = chr(c)
+            if sign.isalpha() or 0x300 <= c < 0x370 or 0xE31 <= c <= 0xE4E:
+                form = (same_form(sign) or sign).lower()
+                letter[c] = ord(form[0]) if len(form) == 1 and ord(form) < 1 << 16 else c
+            elif INVISIBLE.match(sign):
+                letter[c] = 0
+        _PLAIN.extend([script, letter])
+    return _PLAIN
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of all texts, text of each); what lies beyond the BMP is a blank."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(codes < 1 << 16, codes, 32), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+
+
+def families(texts: list[str]) -> list[tuple[str | None, int, float]]:
+    """(family of most letters, its letters, its share of all letters) of each text."""
+    codes, owner = _codes(texts)
+    script = _tables()[0][codes]
+    counts = np.bincount(owner * (len(_NAMES) + 1) + script, minlength=len(texts) * (len(_NAMES) + 1)).reshape(len(texts), -1)[:, :-1]
+    weight = counts * _WEIGHT
+    total = weight.sum(1)
+    top = weight.argmax(1)
+    rows = np.arange(len(texts))
+    share = weight[rows, top] / np.maximum(total, 1)
+    most = counts[rows, top]
+    return [(_NAMES[t] if n else None, n, s) for t, n, s in zip(top.tolist(), most.tolist(), share.tolist(), strict=True)]
 
 
 def features(texts: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed n-grams of all texts, text of each): n = 1 .. longest, white space runs as one sign."""
-    plain = [re.sub(" +", " ", _letters(t)) for t in texts]
-    codes = np.array(list(map(ord, "".join(plain))), np.uint32)
-    owner = np.repeat(np.arange(len(plain)), [len(p) for p in plain])
+    """(hashed n-grams of all texts, text of each): n = 1 .. longest, runs of other signs as one blank."""
+    codes, owner = _codes(texts)
+    plain = _tables()[1][codes]
+    keep = plain > 0
+    plain, owner = plain[keep], owner[keep]
+    keep = np.concatenate([[True], (plain[1:] != 32) | (plain[:-1] != 32) | (owner[1:] != owner[:-1])])[: len(plain)]
+    plain, owner = plain[keep], owner[keep]
     grams, owners = [], []
-    h = np.zeros(len(codes), np.uint32)
+    h = np.zeros(len(plain), np.uint32)
     with np.errstate(over="ignore"):
         for n in range(longest):
-            h[: len(codes) - n] = (h[: len(codes) - n] ^ codes[n:]) * _BASE + np.uint32(n)
-            whole = len(codes) - n
+            whole = len(plain) - n
             if whole <= 0:
                 break
+            h = (h[:whole] ^ plain[n:]) * _BASE + np.uint32(n)
             inside = owner[:whole] == owner[n:]
-            mixed = h[:whole] ^ (h[:whole] >> np.uint32(15))
-            grams.append((mixed & np.uint32(_DIMS - 1))[inside])
+            mixed = (h ^ (h >> np.uint32(15))) & np.uint32(_DIMS - 1)
+            grams.append(mixed[inside])
             owners.append(owner[:whole][inside])
+    if not grams:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(grams).astype(np.int64), np.concatenate(owners)
 
 
@@ -97,8 +128,7 @@ def _matrix(texts: list[str], longest: int) -> np.ndarray:
     grams, owners = features(texts, longest)
     x = np.zeros((len(texts), _DIMS), np.float32)
     np.add.at(x, (owners, grams), 1)
-    np.sqrt(x, out=x)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, cost: float = 20.0) -> np.ndarray:
@@ -115,6 +145,12 @@ def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, cost: float = 2
     return w
 
 
+def _borne_out(text: str, label: str, members: tuple[str, ...]) -> bool:
+    words = set(text) if label in FAMILIES["han"] else set(_WORDS.findall(text.lower()))
+    hits = {c: len(words & (set(COMMON_WORDS[c]) if c in FAMILIES["han"] else set(COMMON_WORDS[c].split()))) for c in members}
+    return hits[label] > 0 and hits[label] == max(hits.values())
+
+
 class Machines:
     """One-versus-one machines of each family with several languages."""
 
@@ -123,18 +159,19 @@ class Machines:
         for name, members in FAMILIES.items():
             if len(members) < 2:
                 continue
-            longest = 3 if name == "latin" else 2
+            longest = 4 if name == "latin" else 2
             own = [(t, c) for t, c in zip(texts, labels, strict=True) if c in members]
             for c in members:
                 words = COMMON_WORDS[c]
                 own += [(words if name == "han" else " ".join(words.split()[k : k + 12]), c) for k in (0, 6, 12)]
             x = _matrix([t for t, _ in own], longest)
             y = np.array([members.index(c) for _, c in own])
-            self.weights[name] = self._fit(x, y, members, longest)
-            said = self._decide(name, x @ self.weights[name][1][:-1] + self.weights[name][1][-1])[0]
-            keep = said == y
-            keep[-3 * len(members) :] = True
-            self.weights[name] = self._fit(x[keep], y[keep], members, longest)
+            common = np.arange(len(y)) >= len(y) - 3 * len(members)
+            # first by common words: a sentence bears out its label if no other language has more of them
+            keep = common | np.array([_borne_out(t, c, members) for t, c in own])
+            for _ in range(2):
+                self.weights[name] = self._fit(x[keep], y[keep], members, longest)
+                keep = common | (self._decide(name, x @ self.weights[name][1][:-1] + self.weights[name][1][-1])[0] == y)
 
     @staticmethod
     def _fit(x: np.ndarray, y: np.ndarray, members: tuple[str, ...], longest: int) -> tuple[list[tuple[int, int]], np.ndarray, int]:
@@ -162,15 +199,9 @@ class Machines:
             return [(members[0], 1.0)] * len(texts)
         _, weights, longest = self.weights[name]
         grams, owners = features(texts, longest)
-        # square roots of the counts, scaled to length 1, as in the fit
-        cell, count = np.unique(owners * _DIMS + grams, return_counts=True)
-        row, value = cell // _DIMS, np.sqrt(count)
-        scores = np.zeros((len(texts), weights.shape[1]))
-        picked = weights[cell % _DIMS] * value[:, None]
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        scores[row[first]] = np.add.reduceat(picked, first, axis=0)
-        norm = np.sqrt(np.bincount(row, weights=count, minlength=len(texts)))
-        scores = scores / np.maximum(norm, 1e-6)[:, None] + weights[-1]
+        # counts over the root of their number, as in the fit; sums of one column at a time stay in the cache
+        scores = np.stack([np.bincount(owners, weights=w[grams], minlength=len(texts)) for w in weights[:-1].T.copy()], 1)
+        scores = scores / np.sqrt(np.maximum(np.bincount(owners, minlength=len(texts)), 1))[:, None] + weights[-1]
         top, margin = self._decide(name, scores)
         sure = 1 / (1 + np.exp(-4 * np.clip(margin, -5, 5)))
         return [(members[t], float(c)) for t, c in zip(top, sure, strict=True)]
@@ -195,17 +226,17 @@ def fit(labelled: DataFrame, label: str, text: str, rows: int = SAMPLE_ROWS, cha
     sample = picked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("code", "text").collect()
     texts, labels = [], []
     for r in sorted(sample, key=lambda r: (r.code, r.text)):
-        for a, b in split(r.text):
-            name, n, _ = family(r.text[a:b])
+        cut = [r.text[a:b] for a, b in split(r.text)]
+        for t, (name, n, _) in zip(cut, families(cut), strict=True):
             if name and r.code in FAMILIES[name] and n >= LEAST_LETTERS[name]:
-                texts.append(r.text[a:b])
+                texts.append(t)
                 labels.append(r.code)
     # each language weighs the same in a machine; very many sentences add nothing
     kept: dict[str, int] = {}
     both = []
     for t, c in zip(texts, labels, strict=True):
         kept[c] = kept.get(c, 0) + 1
-        if kept[c] <= 900:
+        if kept[c] <= SAMPLE_SENTENCES:
             both.append((t, c))
     return Machines([t for t, _ in both], [c for _, c in both])
 
@@ -218,12 +249,11 @@ def _spans(machines: Machines, texts: list[str]) -> Iterator[list[tuple[str, int
     cuts = [[(a, b, t[a:b]) for a, b in split(t)] for t in texts]
     of: dict[str, list[tuple[int, int]]] = {}
     seen: dict[tuple[int, int], tuple[str, int, float]] = {}
-    for i, c in enumerate(cuts):
-        for k, (_, _, s) in enumerate(c):
-            name, n, share = family(s)
-            if name:
-                of.setdefault(name, []).append((i, k))
-                seen[i, k] = (name, n, share)
+    places = [(i, k) for i, c in enumerate(cuts) for k in range(len(c))]
+    for at, (name, n, share) in zip(places, families([cuts[i][k][2] for i, k in places]), strict=True):
+        if name:
+            of.setdefault(name, []).append(at)
+            seen[at] = (name, n, share)
     said: dict[tuple[int, int], tuple[str, float]] = {}
     for name, where in of.items():
         for at, result in zip(where, machines.languages(name, [cuts[i][k][2] for i, k in where]), strict=True):

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
-from . import languages, leakage, lookalike, sentences, spans, terms, tokens
+from ..session import spread, stored, table
+from . import languages, leakage, lookalike, mixture, sentences, spans, subjects, terms, tokens
 
 
 def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,43 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sizes = tokens.encode_column(spread(docs.select(F.struct("doc_id", "source").alias("at"), "text")), "at", "text", lengths_only=True)
+    return stored(sizes.select("at.doc_id", "at.source", "n_tokens"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training mix: documents and copies by position."""
+    return mixture.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the mix by source."""
+    docs, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixture.shares(mixture.mix(docs, targets), docs, targets)
+
+
+def p9_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each document's sentences by subject, with the rules' confidence."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rules = subjects.fit(docs, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+    return subjects.score(docs, rules)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_subjects(spark, sf_dir).where("share >= 0.2").select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by subject, and their share of all documents."""
+    total = table(spark, sf_dir, "documents").agg(F.countDistinct("doc_id").alias("all_docs"))
+    by = p9_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("docs"))
+    return by.crossJoin(F.broadcast(total)).select("subject", "docs", (F.col("docs") / F.col("all_docs")).alias("share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_passages, p1_shares, p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p4_found, p4_languages, p5_found, p5_library_forms, p5_sentence_forms, p6_found, p7_ids]
+    own = [p1_found, p1_passages, p1_shares, p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p4_found, p4_languages, p5_found, p5_library_forms, p5_sentence_forms, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_subjects, p9_composition]
     return {f.__name__: f for f in own}
 
 

@@ -152,31 +152,23 @@ def _common(a: str, b: str, p: int, q: int, way: int) -> int:
 
 def _runs_by_window(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
     """Runs by the windows themselves, for texts that repeat within: one partner place for each run in a, and in b."""
-    first: dict[str, int] = {}
-    for q in range(len(b) - least + 1):
-        first.setdefault(b[q : q + least], q)
-    runs, p = [], 0
-    while p <= len(a) - least:
-        q = first.get(a[p : p + least])
-        if q is None:
-            p += 1
-            continue
-        size = least + _common(a, b, p + least, q + least, 1)
-        runs.append((p, q, size))
-        p += size - least + 1
-    covered = sorted((q, q + n) for _, q, n in runs)
-    have = {a[p : p + least]: p for p in range(len(a) - least, -1, -1)}
-    q, k = 0, 0
-    while q <= len(b) - least:
-        while k < len(covered) and covered[k][1] < q + least:
-            k += 1
-        p = None if k < len(covered) and covered[k][0] <= q else have.get(b[q : q + least])
-        if p is None:
-            q += 1
-            continue
-        size = least + _common(a, b, p + least, q + least, 1)
-        runs.append((p, q, size))
-        q += size - least + 1
+    x = Hashes(np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)).of(least, 3).tolist()
+    y = Hashes(np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)).of(least, 3).tolist()
+
+    def one_side(p_all: list[int], q_all: list[int], s: str, t: str) -> list[tuple[int, int, int]]:
+        place = {h: q for q, h in zip(range(len(q_all) - 1, -1, -1), reversed(q_all), strict=True)}
+        found, p = [], 0
+        while p < len(p_all):
+            q = place.get(p_all[p])
+            if q is None or s[p : p + least] != t[q : q + least]:
+                p += 1
+                continue
+            size = least + _common(s, t, p + least, q + least, 1)
+            found.append((p, q, size))
+            p += size - least + 1
+        return found
+
+    runs = one_side(x, y, a, b) + [(p, q, n) for q, p, n in one_side(y, x, b, a)]
     return sorted(set(runs))
 
 
