@@ -296,39 +296,32 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def record_pairs(texts: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of record numbers that between them show every shared span of every record.
 
-    ``texts`` has (no, text). Seeds are counted by aggregation; only seeds in
-    four or more records go through windows. No pair of a class is formed but
-    those with a representative.
+    ``texts`` has (no, text); rows may repeat. Seeds are counted by
+    aggregation; only seeds in four or more rows go through windows. No pair
+    of a class is formed but those with a representative.
     """
     seeds = stored(texts.mapInArrow(_seed_rows, "seed bigint, no bigint"))
     counted = seeds.groupBy("seed").agg(F.count("*").alias("n"), F.min("no").alias("low"), F.max("no").alias("high"), F.expr("bit_xor(no)").alias("all"))
-    counted = stored(counted.where("n > 1"))
-    middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
-    few = counted.where("n <= 3").withColumn("mid", F.when(F.col("n") == 3, middle))
-    few = few.select(
-        F.explode(
-            F.when(F.col("mid").isNull(), F.array(F.struct(F.col("low").alias("a"), F.col("high").alias("b")))).otherwise(
-                F.array(
-                    F.struct(F.col("low").alias("a"), F.col("mid").alias("b")),
-                    F.struct(F.col("mid").alias("a"), F.col("high").alias("b")),
-                    F.struct(F.col("low").alias("a"), F.col("high").alias("b")),
-                )
-            )
-        ).alias("p")
-    ).select("p.a", "p.b")
+    counted = stored(counted.where("low <> high"))
+    # of three rows the third is what the least and the greatest leave of the sum
+    middle = F.when(F.col("n") == 3, F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))).otherwise(F.col("low"))
+    ends = [("low", "high"), ("low", "mid"), ("mid", "high")]
+    few = counted.where("n <= 3").withColumn("mid", middle)
+    few = few.select(F.explode(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ends])).alias("p")).select("p.x", "p.y")
     wanted = seeds.join(counted.where("n > 3").select("seed"), "seed", "left_semi")
     # the seeds of one record: bounded by its length
     wanted = wanted.groupBy("no").agg(F.collect_set("seed").alias("seeds"))
-    windows = texts.join(wanted, "no").select("no", "seeds", "text").mapInArrow(_window_rows, "window bigint, no bigint")
-    windows = stored(windows.withColumn("bucket", F.pmod(F.xxhash64("no"), F.lit(BUCKETS)).cast("int")))
-    by_bucket = windows.groupBy("window", "bucket").agg(F.min("no").alias("near"), F.max("no").alias("far"))
-    whole = by_bucket.groupBy("window").agg(F.min("near").alias("low"), F.max("far").alias("high")).where("low <> high")
-    heads = by_bucket.join(whole, "window").select("window", "bucket", "near", "low", "high")
-    member = windows.join(heads, ["window", "bucket"])
+    windows = stored(texts.join(wanted, "no").select("no", "seeds", "text").mapInArrow(_window_rows, "window bigint, no bigint"))
+    # most windows stand once: they leave before anything else is made of them
+    several = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    bucket = F.pmod(F.xxhash64("no"), F.lit(BUCKETS)).cast("int")
+    members = stored(windows.join(several, "window").withColumn("bucket", bucket))
+    heads = members.groupBy("window", "bucket").agg(F.min("no").alias("near"), F.max("no").alias("far"))
+    whole = heads.groupBy("window").agg(F.min("near").alias("low"), F.max("far").alias("high")).where("low <> high")
+    joined = members.join(heads.select("window", "bucket", "near"), ["window", "bucket"]).join(whole, "window")
     partner = F.when(F.col("near") != F.col("no"), F.col("near")).when(F.col("low") != F.col("no"), F.col("low")).otherwise(F.col("high"))
-    many = member.select("no", partner.alias("other")).distinct()
-    many = many.select(F.least("no", "other").alias("a"), F.greatest("no", "other").alias("b"))
-    return few.unionByName(many).distinct()
+    many = joined.select(F.col("no").alias("x"), partner.alias("y"))
+    return few.unionByName(many).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 _OUT = (
@@ -371,8 +364,9 @@ def shared_passages(records: DataFrame) -> DataFrame:
     rows are one record; a record is never compared with itself; null and
     short texts have no passage. Records are numbered by a 64-bit digest.
     """
-    rows = records.select("tab", "rec_id", "text").where(F.length("text") >= LEAST).distinct()
-    texts = stored(rows.select(F.xxhash64("tab", "rec_id").alias("no"), "tab", "rec_id", "text"))
+    # read again where it is needed, which moves less than a table of distinct texts; repeated rows only repeat what they find
+    rows = records.select("tab", "rec_id", "text").where(F.length("text") >= LEAST)
+    texts = rows.select(F.xxhash64("tab", "rec_id").alias("no"), "tab", "rec_id", "text")
     pairs = record_pairs(texts.select("no", "text"))
     left = texts.select(F.col("no").alias("a"), F.col("tab").alias("tab_a"), F.col("rec_id").alias("id_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("no").alias("b"), F.col("tab").alias("tab_b"), F.col("rec_id").alias("id_b"), F.col("text").alias("text_b"))
