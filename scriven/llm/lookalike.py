@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # fixed values: letters of other scripts that print like Latin ones (after Unicode TR39)
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y",
@@ -69,8 +71,10 @@ def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     rows = with_form(rows, "text").select("key", F.md5("text").alias("stored"), F.md5("form").alias("form_md5"), "form")
+    # mapped once: the forms with their members' keys are read for the classes and again for the members
+    rows = stored(rows)
     members = rows.select("key", "stored", "form_md5").distinct()
-    forms = rows.groupBy("form_md5", "form").agg(F.min("key").alias("first_key"))
+    forms = stored(rows.groupBy("form_md5", "form").agg(F.min("key").alias("first_key")))
     classes = forms.sparkSession.sql(
         """SELECT collate(form, 'UNICODE') AS look, min_by(form, first_key) AS class_form, min(first_key) AS class_key
            FROM {forms} GROUP BY collate(form, 'UNICODE')""",
@@ -93,11 +97,11 @@ def look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     that store the same string are never compared.
     """
     marked = df.where(F.col(text).rlike(r"[^\s\u0085\u00a0\u1680\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]"))
-    members = look_classes(marked, key, text).select("key", "stored", "class_key")
+    members = stored(look_classes(marked, key, text).select("key", "stored", "class_key"))
     variants = members.select("class_key", "stored").distinct()
     mixed = variants.groupBy("class_key").agg(F.min("stored").alias("least"), F.max("stored").alias("most"))
     mixed = mixed.where("least <> most").select("class_key")
-    members = members.join(mixed, "class_key")
+    members = stored(members.join(mixed, "class_key"))
     variants = members.select("class_key", "stored").distinct()
     a = variants.select("class_key", F.col("stored").alias("stored_a"))
     b = variants.select("class_key", F.col("stored").alias("stored_b"))
