@@ -29,7 +29,8 @@ def swap_synonyms(text: Column, kind: Column) -> Column:
     """
     zh = text
     for k, v in K.SYN_ZH.items():
-        zh = F.when(F.contains(text, F.lit(k)), F.replace(zh, F.lit(k), F.lit(v))).otherwise(zh)
+        # an empty search replaces nothing: a word that only an earlier replacement made stays
+        zh = F.replace(zh, F.when(F.contains(text, F.lit(k)), k).otherwise(""), F.lit(v))
     en = text
     for k in sorted(K.SYN_EN, key=lambda k: k not in K.SYN_EN.values()):
         en = F.regexp_replace(en, rf"(?i)\b{k}\b", K.SYN_EN[k])
