@@ -60,18 +60,29 @@ def quoted_units(text: Column, kind: Column) -> Column:
     return F.coalesce(F.aggregate(F.transform(spans, inner), F.lit(0), lambda a, b: a + b), F.lit(0))
 
 
+def grams(norm: Column, kind: Column, zh: int, en: int) -> Column:
+    """All runs of ``zh`` characters or ``en`` words of a normal form, or the whole if that is shorter.
+
+    The form is cut into signs once, bound by the outer lambda; a reference to
+    the cut inside the inner one would be worked out again for every run, and
+    substrings by place would be quadratic in long texts.
+    """
+
+    def runs(signs: Column, n: int, glue: str) -> Column:
+        each = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - (n - 1))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), glue))
+        return F.element_at(F.transform(F.array(signs), each), 1)
+
+    # only what a normal form can hold: single characters, or words between blanks
+    return F.when(kind == "zh", runs(F.split(norm, ""), zh, "")).otherwise(runs(F.split(norm, " "), en, " "))
+
+
 def shingles(norm: Column, kind: Column, n: Column, least: int = K.MIN_SENT_UNITS) -> Column:
     """Distinct shingles of a normal form of ``n`` units: 8 characters or 6 words, or the whole if that is shorter.
 
     Below ``least`` units there are none.
     """
-    zh, en = K.ZH_SHINGLE, K.EN_SHINGLE
-    toks = F.split(norm, " ")
-    by_chars = F.transform(F.sequence(F.lit(1), n - (zh - 1)), lambda i: F.substring(norm, i, F.lit(zh)))
-    by_words = F.transform(F.sequence(F.lit(1), n - (en - 1)), lambda i: F.array_join(F.slice(toks, i, F.lit(en)), " "))
-    whole = F.array(norm)
-    grams = F.when(kind == "zh", F.when(n >= zh, by_chars).otherwise(whole)).otherwise(F.when(n >= en, by_words).otherwise(whole))
-    return F.array_distinct(F.when(n >= least, grams).otherwise(F.array().cast("array<string>")))
+    some = grams(norm, kind, K.ZH_SHINGLE, K.EN_SHINGLE)
+    return F.array_distinct(F.when(n >= least, some).otherwise(F.array().cast("array<string>")))
 
 
 def phrase_hits(text: Column, phrases: Iterable[str]) -> Column:

@@ -89,7 +89,7 @@ FEATURES = {
 
 def feature_rows(features: DataFrame) -> DataFrame:
     """(doc_id, feature, value): whole numbers from 5 to 100; what is not available has no row."""
-    each = [F.struct(F.lit(n).alias("feature"), T.clamp(T.rounded(T.rounded(v(), 6), 0), 5, 100).cast("int").alias("value")) for n, v in FEATURES.items()]
+    each = [F.struct(F.lit(n).alias("feature"), F.when(v().isNotNull(), T.clamp(T.rounded(T.rounded(v(), 6), 0), 5, 100)).cast("int").alias("value")) for n, v in FEATURES.items()]
     return features.select("doc_id", F.explode(F.array(*each)).alias("f")).select("doc_id", "f.feature", "f.value").where(F.col("value").isNotNull())
 
 

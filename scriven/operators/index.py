@@ -64,13 +64,7 @@ def simhash(docs: DataFrame) -> DataFrame:
     """
     kind = T.detect_language(F.col("text"))
     d = docs.where(F.col("text").isNotNull()).select("doc_id", kind.alias("kind"), T.normalize(F.col("text"), kind).alias("norm"))
-    toks = F.split("norm", " ")
-    n = T.units(F.col("norm"), F.col("kind"))
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), n - 3))
-    grams = F.when(F.col("kind") == "zh", F.transform(places, lambda i: F.substring(F.col("norm"), i, F.lit(4)))).otherwise(
-        F.transform(places, lambda i: F.array_join(F.slice(toks, i, F.lit(4)), " "))
-    )
-    g = d.select("doc_id", F.explode(grams).alias("gram"))
+    g = d.select("doc_id", F.explode(T.grams(F.col("norm"), F.col("kind"), 4, 4)).alias("gram"))
     h = F.conv(F.substring(F.md5("gram"), 1, 16), 16, -10).cast("bigint")
     hashed = g.select("doc_id", h.alias("h"))
     sums = [F.sum(F.getbit("h", F.lit(b)).cast("int") * 2 - 1).alias(f"b{b}") for b in range(64)]
