@@ -292,9 +292,11 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Rules:
     own = clean_labels(labels, areas)
     own = own.join(own.groupBy("doc_id").agg((1.0 / F.count("*")).alias("weight")), "doc_id")
     texts = docs.select("doc_id", "text").where((F.length("text") >= 20) & (F.length("text") <= MINED_CHARS))
-    marked = texts.join(own.select("doc_id").distinct().withColumn("known", F.lit(0)), "doc_id", "left")
+    # the sample is chosen by ids alone; only its texts are then moved, at most SAMPLE_TEXTS of them
+    ids = texts.select("doc_id").join(own.select("doc_id").distinct().withColumn("known", F.lit(0)), "doc_id", "left")
     order = [F.coalesce("known", F.lit(1)), F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = stored(marked.orderBy(*order).limit(SAMPLE_TEXTS).select("doc_id", "text").dropDuplicates(["doc_id"]))
+    chosen = stored(ids.orderBy(*order).limit(SAMPLE_TEXTS).select("doc_id").distinct())
+    sample = stored(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
     sentences = stored(_sentences_of(spread(sample)))
     classes = own
     for least in ROUNDS[:-1]:
