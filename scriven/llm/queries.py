@@ -21,18 +21,23 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.shared_records(spans.shared_passages(_records(spark, sf_dir)))
+    return spans.shared_records(spans.shared_passages(_records(spark, sf_dir), fuzzy=False))
 
 
 def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages shared by two records, exact or with small differences."""
+    """Passages shared by two records, exact or with small differences; of seeds in four or more rows, links to representatives (``p1_members`` has the others)."""
     return spans.shared_passages(_records(spark, sf_dir)).drop("runs")
 
 
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every record in the classes of shared windows and seeds of four or more rows, with the class's head."""
+    return spans.shared_members(_records(spark, sf_dir))
+
+
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each record stands verbatim in another record."""
     records = _records(spark, sf_dir)
-    return spans.shared_share(spans.shared_passages(records), records)
+    return spans.shared_share(spans.shared_passages(records, fuzzy=False), records)
 
 
 def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +139,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_passages, p1_shares, p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p4_found, p4_languages, p5_found, p5_library_forms, p5_sentence_forms, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_subjects, p9_composition]
+    own = [p1_found, p1_passages, p1_members, p1_shares, p2_found, p2_terms, p2_ngrams, p3_found, p3_pieces, p4_found, p4_languages, p5_found, p5_library_forms, p5_sentence_forms, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_subjects, p9_composition]
     return {f.__name__: f for f in own}
 
 

@@ -11,17 +11,22 @@ A seed that stands in two or three records names its pairs at once. A seed in
 more records is refined: its records are classed by each whole window of the
 least length around it, and every member of a class is paired with a
 representative of the class. That is linear in the records of the seed and
-loses nothing: a record's shared window has a partner that shares it too.
+every record's shared window has a partner that shares it too. The links
+between other members of a class are not listed pair by pair, which would grow
+with the square of its records: ``shared_members`` gives every place of every
+member with the place in the class's head that it equals, and ``links`` makes
+all pairs of that.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -262,17 +267,24 @@ def _blocks(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[int
         yield begin, texts[begin:]
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(numbers: np.ndarray, w: Windows, name: str, hashes: np.ndarray, owner: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    at = (places - w.start[owner]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(numbers[owner]), pa.array(at)], [name, "no", "place"])
+
+
+def _seed_rows(batches: Iterator[pa.RecordBatch], placed: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         numbers = batch.column("no").to_numpy()
         for begin, texts in _blocks(batch):
             w = Windows(texts)
-            if len(w.places):
+            if len(w.places) and placed:
+                yield _placed(numbers[begin:], w, "seed", w.seeds, w.seed_owner, w.places)
+            elif len(w.places):
                 both = np.unique(np.stack([numbers[begin + w.seed_owner], w.seeds.view(np.int64)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(both[:, 0])], ["seed", "no"])
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch], placed: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         numbers = batch.column("no").to_numpy()
         wanted = batch.column("seeds")
@@ -287,18 +299,22 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = set(zip(owner.tolist(), flat.tolist(), strict=True))
             near = np.flatnonzero(w.valid & np.isin(w.minima, flat))
             keep = [k for k, o, m in zip(near.tolist(), w.owner[near].tolist(), w.minima[near].tolist(), strict=True) if (o, m) in pairs]
-            if keep:
+            if keep and placed:
+                kept = np.array(keep)
+                yield _placed(numbers[begin:], w, "window", w.hashes.of(w.least, 2)[kept], w.owner[kept], kept)
+            elif keep:
                 whole = w.hashes.of(w.least, 2)[keep].view(np.int64)
                 both = np.unique(np.stack([numbers[begin + w.owner[keep]], whole], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(both[:, 0])], ["window", "no"])
 
 
-def record_pairs(texts: DataFrame) -> DataFrame:
+def record_pairs(texts: DataFrame, fuzzy: bool = False) -> DataFrame:
     """(a, b), a < b: pairs of record numbers that between them show every shared span of every record.
 
     ``texts`` has (no, text); rows may repeat. Seeds are counted by
     aggregation; only seeds in four or more rows go through windows. No pair
-    of a class is formed but those with a representative.
+    of a class is formed but those with a representative. With ``fuzzy``, such
+    seeds are classes too, for records that share no whole window.
     """
     seeds = stored(texts.mapInArrow(_seed_rows, "seed bigint, no bigint"))
     counted = seeds.groupBy("seed").agg(F.count("*").alias("n"), F.min("no").alias("low"), F.max("no").alias("high"), F.expr("bit_xor(no)").alias("all"))
@@ -310,8 +326,10 @@ def record_pairs(texts: DataFrame) -> DataFrame:
     few = few.select(F.explode(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ends])).alias("p")).select("p.x", "p.y")
     wanted = seeds.join(counted.where("n > 3").select("seed"), "seed", "left_semi")
     # the seeds of one record: bounded by its length
-    wanted = wanted.groupBy("no").agg(F.collect_set("seed").alias("seeds"))
-    windows = stored(texts.join(wanted, "no").select("no", "seeds", "text").mapInArrow(_window_rows, "window bigint, no bigint"))
+    held = wanted.groupBy("no").agg(F.collect_set("seed").alias("seeds"))
+    windows = stored(texts.join(held, "no").select("no", "seeds", "text").mapInArrow(_window_rows, "window bigint, no bigint"))
+    if fuzzy:
+        windows = windows.unionByName(wanted.select(F.col("seed").alias("window"), "no"))
     # most windows stand once: they leave before anything else is made of them
     several = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     bucket = F.pmod(F.xxhash64("no"), F.lit(BUCKETS)).cast("int")
@@ -324,6 +342,57 @@ def record_pairs(texts: DataFrame) -> DataFrame:
     return few.unionByName(many).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def shared_members(records: DataFrame) -> DataFrame:
+    """(length, tab, rec_id, start_pos, end_pos, head_tab, head_id, head_start): the members of all classes of records (tab, rec_id, text).
+
+    Classes are the seeds in four or more rows (length ``SEED``) and the whole
+    windows around them (``LEAST``) that stand in several records; the head of
+    a class is one place of it. ``text[start_pos:end_pos]`` of a member equals
+    the head's text from ``head_start``; places next to each other whose heads
+    are so too are one row, and every place of a record has its row, the
+    head's own included. So two members of one length and head share what
+    their stretches of the head have in common, where that is at least
+    ``length``: rows are linear in the text, and with the pairs of
+    ``shared_passages`` no link is missing. Classes go by 64-bit digests.
+    """
+    rows = records.select("tab", "rec_id", "text").where(F.length("text") >= LEAST).withColumn("no", F.xxhash64("tab", "rec_id"))
+    texts = rows.select("no", "text")
+    # one shuffle serves both the classes and the join with them; places stream past the one row of their class
+    seeds = texts.mapInArrow(partial(_seed_rows, placed=True), "seed bigint, no bigint, place int").repartition("seed")
+    counted = seeds.groupBy("seed").agg(F.count("*").alias("n"), F.min("no").alias("low"), F.max("no").alias("high"))
+    wanted = stored(seeds.join(counted.where("n > 3 AND low <> high").select("seed"), "seed", "left_semi"))
+    # the seeds of one record: bounded by its length
+    held = wanted.groupBy("no").agg(F.collect_set("seed").alias("seeds"))
+    windows = texts.join(held, "no").select("no", "seeds", "text").mapInArrow(partial(_window_rows, placed=True), "window bigint, no bigint, place int")
+    placed = windows.withColumn("length", F.lit(LEAST)).unionByName(wanted.withColumnRenamed("seed", "window").withColumn("length", F.lit(SEED)))
+    members = placed.repartition("length", "window")
+    heads = members.groupBy("length", "window").agg(F.min(F.struct("no", "place")).alias("head"), F.max("no").alias("far"))
+    joined = members.join(heads.where("head.no <> far"), ["length", "window"])
+    joined = joined.select("length", "no", "place", F.col("head.no").alias("head"), (F.col("place") - F.col("head.place")).alias("off"))
+    # places of one record against one head on one diagonal: bounded by the record's length; repeated rows have equal ranks
+    step = Window.partitionBy("length", "no", "head", "off").orderBy("place")
+    runs = joined.withColumn("run", F.col("place") - F.dense_rank().over(step)).groupBy("length", "no", "head", "off", "run")
+    runs = runs.agg(F.min("place").alias("start_pos"), (F.max("place") + F.col("length")).alias("end_pos"))
+    named = rows.select("no", "tab", "rec_id").distinct()
+    heads_named = named.select(F.col("no").alias("head"), F.col("tab").alias("head_tab"), F.col("rec_id").alias("head_id"))
+    out = runs.join(named, "no").join(heads_named, "head")
+    return out.select("length", "tab", "rec_id", "start_pos", "end_pos", "head_tab", "head_id", (F.col("start_pos") - F.col("off")).alias("head_start"))
+
+
+def links(members: DataFrame) -> DataFrame:
+    """(length, tab, rec_id, start_pos, other_tab, other_id, other_start, chars): every link between different records of ``shared_members``.
+
+    Once from each side. This grows with the square of a class's records: take the members of the records asked for.
+    """
+    head = ["length", "head_tab", "head_id"]
+    own = members.withColumn("head_end", F.expr("head_start + end_pos - start_pos"))
+    other = own.select(*head, *[F.col(c).alias("o_" + c) for c in ("tab", "rec_id", "start_pos", "head_start", "head_end")])
+    both = own.join(other, head).where("tab <> o_tab OR rec_id <> o_rec_id").withColumn("from_", F.greatest("head_start", "o_head_start"))
+    both = both.withColumn("chars", F.least("head_end", "o_head_end") - F.col("from_")).where("chars >= length")
+    start, other_start = F.expr("start_pos + from_ - head_start").alias("start_pos"), F.expr("o_start_pos + from_ - o_head_start").alias("other_start")
+    return both.select("length", "tab", "rec_id", start, F.col("o_tab").alias("other_tab"), F.col("o_rec_id").alias("other_id"), other_start, "chars")
+
+
 _OUT = (
     "tab string, rec_id string, other_tab string, other_id string, start_pos int, end_pos int, other_start int, other_end int, "
     "identity double, longest int, runs array<struct<start_pos:int,end_pos:int>>"
@@ -356,18 +425,23 @@ def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def shared_passages(records: DataFrame) -> DataFrame:
+def shared_passages(records: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Chained passages between records (tab, rec_id, text), once from each side.
 
     Columns: the record, the other record, offsets in both, identity, the
     longest exact run and all runs of at least ``LEAST`` characters. Repeated
     rows are one record; a record is never compared with itself; null and
     short texts have no passage. Records are numbered by a 64-bit digest.
+
+    Pairs are all those that share a seed of at most three rows. Of seeds in
+    more rows they are links to representatives: every record of a shared
+    window, and with ``fuzzy`` of a shared seed, has one. ``shared_members``
+    has the other links.
     """
     # read again where it is needed, which moves less than a table of distinct texts; repeated rows only repeat what they find
     rows = records.select("tab", "rec_id", "text").where(F.length("text") >= LEAST)
     texts = rows.select(F.xxhash64("tab", "rec_id").alias("no"), "tab", "rec_id", "text")
-    pairs = record_pairs(texts.select("no", "text"))
+    pairs = record_pairs(texts.select("no", "text"), fuzzy)
     left = texts.select(F.col("no").alias("a"), F.col("tab").alias("tab_a"), F.col("rec_id").alias("id_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("no").alias("b"), F.col("tab").alias("tab_b"), F.col("rec_id").alias("id_b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").drop("a", "b").mapInArrow(_passage_rows, _OUT)

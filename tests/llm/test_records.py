@@ -78,6 +78,37 @@ def test_shared_records_equal_brute_force(spark):
     assert spans.shared_passages(df.where("false")).count() == 0
 
 
+def test_passages_and_members_hold_every_link(spark):
+    rng = random.Random(7)
+    cores = [random_text(rng, 400) for _ in range(2)]
+    rows = [("checks", "n", None), ("checks", "e", "")]
+    for k in range(40):
+        core = rng.choice(cores)
+        at, size = rng.randint(0, 200), rng.randint(100, 200)
+        rows.append((rng.choice(["library_docs", "checks"]), str(k), random_text(rng, rng.randint(0, 200)) + core[at : at + size] + random_text(rng, 100)))
+    rows += [("library_docs", "twice", rows[5][2] + "7" + rows[5][2])] + rows[:10]
+    text = {(tab, rec): t for tab, rec, t in rows if t}
+    windows = {r: {t[k : k + 160] for k in range(len(t) - 159)} for r, t in text.items()}
+    seeds = {r: set(spans.Windows([t]).seeds.tolist()) for r, t in text.items()}
+    exact = {(a, b) for a in text for b in text if a != b and windows[a] & windows[b]}
+    fuzzy = {(a, b) for a in text for b in text if a != b and seeds[a] & seeds[b]}
+    df = spark.createDataFrame(rows, "tab string, rec_id string, text string")
+    found = spans.shared_passages(df).collect()
+    listed = {((r.tab, r.rec_id), (r.other_tab, r.other_id)) for r in found}
+    long = {((r.tab, r.rec_id), (r.other_tab, r.other_id)) for r in found if r.longest >= 160}
+    members = spans.shared_members(df)
+    head = {(r.length, r.tab, r.rec_id, r.start_pos, r.end_pos, r.head_tab, r.head_id, r.head_start) for r in members.collect()}
+    assert len(head) == members.count()
+    assert all(text[a, b][i:j] == text[c, d][k : k + j - i] for _, a, b, i, j, c, d, k in head)
+    got = spans.links(members).collect()
+    assert all(text[r.tab, r.rec_id][r.start_pos :][: r.chars] == text[r.other_tab, r.other_id][r.other_start :][: r.chars] for r in got)
+    by = {n: {((r.tab, r.rec_id), (r.other_tab, r.other_id)) for r in got if r.length == n} for n in (80, 160)}
+    assert long < exact and long | by[160] == exact and listed < fuzzy and listed | by[80] == fuzzy
+    # every record of a shared seed has a passage
+    assert {a for a, _ in listed} == {a for a, _ in fuzzy}
+    assert spans.shared_members(df.where("false")).count() == 0
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(5)
     items = [(k, lang, random_text(rng, 300, "abcdefghijklmnopqrstuvw  " if lang == "en" else "的一是在不了有和人这中大为上个国我以要他")) for k, lang in enumerate(["en", "zh"] * 6)]
