@@ -17,8 +17,8 @@ from ..session import stored
 
 #: Hash buckets a source's documents are summed in, so that no task holds a whole source.
 BUCKETS = 256
-#: Target share that sources may miss, together, before the mix is made smaller to fit them.
-SHORTFALL = 0.05
+#: Target share that sources may miss, together, before the mix is made smaller to fit them: none, unless asked for.
+SHORTFALL = 0.0
 #: Greatest slope of a weight.
 SLOPE = 0.5
 

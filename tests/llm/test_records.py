@@ -158,6 +158,18 @@ def test_mixture(spark):
     assert mixture.mix(docs.where("false"), targets).count() == 0 and mixture.mix(docs, targets.where("false")).count() == 0
 
 
+def test_mixture_meets_the_target_of_a_tiny_source(spark):
+    rows = [(k, "big", 10) for k in range(2000)] + [(3000 + k, "other", 10) for k in range(2000)] + [(6000 + k, "tiny", 1) for k in range(98)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("other", 0.451, 1), ("tiny", 0.049, 2)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixture.shares(mixture.mix(docs, targets), docs, targets).collect()}
+    assert got["tiny"].tokens == 196
+    assert all(r.actual_share == pytest.approx(r.target_share, abs=0.005) for r in got.values())
+    # the larger mix, which starves the tiny source, is an option
+    more = {r.source: r for r in mixture.shares(mixture.mix(docs, targets, 0.05), docs, targets).collect()}
+    assert more["big"].tokens > 5 * got["big"].tokens and more["tiny"].actual_share < 0.01
+
+
 def test_pattern_growth_equals_counting():
     import itertools
 
