@@ -35,7 +35,7 @@ from ..session import stored
 LEAST, SEED = 160, 80
 #: Representatives per class are spread over so many buckets of records.
 BUCKETS = 16
-#: Matches of one pair beyond which repeated seeds are compared by whole windows instead.
+#: Matches of one pair beyond which each window, and each seed outside a shared window, is compared with one partner place instead of all.
 MATCHES = 20_000
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.uint64(2**64 - 1)
@@ -121,7 +121,8 @@ def shared_runs(a: str, b: str, least: int = LEAST, seed: int = SEED) -> list[tu
     right, right_at = right[order], w.places[split:][order] - len(a)
     low, high = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
     if int((high - low).sum()) > MATCHES:
-        return _runs_by_window(a, b, least)
+        runs = _runs_by_window(a, b, least)
+        return sorted({*runs, *_runs_by_seed(a, b, w, runs, seed)})
     runs: list[tuple[int, int, int]] = []
     reached: dict[int, int] = {}
     for p, x, y in zip(w.places[:split].tolist(), low.tolist(), high.tolist(), strict=True):
@@ -177,6 +178,32 @@ def _runs_by_window(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
     return sorted(set(runs))
 
 
+def _runs_by_seed(a: str, b: str, w: Windows, runs: list[tuple[int, int, int]], seed: int) -> set[tuple[int, int, int]]:
+    """Runs around the seeds that lie in none of ``runs``, with one partner place for each seed of a, and of b.
+
+    Such a seed shares no whole window, so its run is short and the work linear in the seeds.
+    """
+    split = np.searchsorted(w.places, len(a))
+    x = list(zip(w.seeds[:split].tolist(), w.places[:split].tolist(), strict=True))
+    y = list(zip(w.seeds[split:].tolist(), (w.places[split:] - len(a)).tolist(), strict=True))
+
+    def one_side(mine: list[tuple[int, int]], other: list[tuple[int, int]], held: list[tuple[int, int]], s: str, t: str) -> Iterator[tuple[int, int, int]]:
+        place = dict(reversed(other))
+        at, covered = 0, 0
+        for h, p in mine:
+            while at < len(held) and held[at][0] <= p:
+                covered = max(covered, held[at][1])
+                at += 1
+            q = place.get(h)
+            if q is None or p + seed <= covered or s[p : p + seed] != t[q : q + seed]:
+                continue
+            back = _common(s, t, p, q, -1)
+            yield p - back, q - back, back + seed + _common(s, t, p + seed, q + seed, 1)
+
+    found = set(one_side(x, y, sorted((i, i + n) for i, _, n in runs), a, b))
+    return found | {(p, q, n) for q, p, n in one_side(y, x, sorted((j, j + n) for _, j, n in runs), b, a)}
+
+
 def chains(runs: list[tuple[int, int, int]], gap_cost: float = 0.5) -> list[list[tuple[int, int, int]]]:
     """Collinear chains of runs, best first; every run is in one chain.
 

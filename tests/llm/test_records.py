@@ -28,6 +28,22 @@ def test_repetitive_texts_take_the_window_path():
     assert spans.shared_runs("a" * 100, "a" * 100) == []
 
 
+def test_the_window_path_keeps_short_runs():
+    rng = random.Random(8)
+    a, b = "ab" * 2000, "xx" + "ab" * 1500
+    for _ in range(20):
+        core = random_text(rng, 130)
+        a, b = a + random_text(rng, 200) + core, b + random_text(rng, 200) + core
+    runs = spans.shared_runs(a, b)
+    assert all(a[i : i + n] == b[j : j + n] for i, j, n in runs) and max(n for _, _, n in runs) == 3000
+    seeds = [spans.Windows([t]) for t in (a, b)]
+    shared = set(seeds[0].seeds.tolist()) & set(seeds[1].seeds.tolist())
+    for side, w in enumerate(seeds):
+        for h, p in zip(w.seeds.tolist(), w.places.tolist(), strict=True):
+            assert h not in shared or any(r[side] <= p and p + 80 <= r[side] + r[2] for r in runs)
+    assert sum(n < 160 for _, _, n in runs) > 5
+
+
 def test_chains_are_collinear_and_complete():
     rng = random.Random(2)
     for _ in range(50):
