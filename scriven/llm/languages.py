@@ -5,8 +5,10 @@ family, and one-versus-one linear support vector machines over hashed
 character n-grams tell the languages of a family apart. The machines are
 fitted on the driver from a bounded sample of labelled rows; sentences that
 contradict their label in an earlier fit, as wrong labels and mixed texts do,
-are left out of the next. Classification is a map over whole texts, sentence by
-sentence.
+are left out of the next. Classification is a map over whole texts: every sentence
+gives evidence for its language that grows with its letters, and the best path
+over a text's sentences (Viterbi, with a cost for each change of language)
+decides short ones together with their neighbours.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ NO_LABEL = ("", "und", "unknown")
 SAMPLE_ROWS, SAMPLE_CHARS = 150, 4000
 #: Sentences per language among them.
 SAMPLE_SENTENCES = 500
-#: Letters a sentence needs to count as a passage of its own (headings and codes do not).
-LEAST_LETTERS = {"latin": 25, "cyrillic": 20, "thai": 15, "han": 8}
+#: Cost of a change of language between two sentences in log-odds, and the letters at which half of a machine's margin counts.
+CHANGE, HALF = 0.35, 25.0
+#: Log-odds that each letter of a script (less those of others) gives for a language of that script.
+LETTER_ODDS = 0.5
 _WORDS = re.compile(r"[^\W\d_]+")
 _DIMS = 1 << 13
 _BASE = np.uint32(0x01000193)
@@ -85,8 +89,10 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(codes < 1 << 16, codes, 32), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
 
 
-def families(texts: list[str]) -> list[tuple[str | None, int, float]]:
-    """(family of most letters, its letters, its share of all letters) of each text."""
+def families(texts: list[str]) -> list[tuple[str | None, float, float]]:
+    """(family of most letters, its letters weighed by the text they carry, its share of all letters) of each text; no texts, no result."""
+    if not texts:
+        return []
     codes, owner = _codes(texts)
     script = _tables()[0][codes]
     counts = np.bincount(owner * (len(_NAMES) + 1) + script, minlength=len(texts) * (len(_NAMES) + 1)).reshape(len(texts), -1)[:, :-1]
@@ -95,7 +101,7 @@ def families(texts: list[str]) -> list[tuple[str | None, int, float]]:
     top = weight.argmax(1)
     rows = np.arange(len(texts))
     share = weight[rows, top] / np.maximum(total, 1)
-    most = counts[rows, top]
+    most = weight[rows, top]
     return [(_NAMES[t] if n else None, n, s) for t, n, s in zip(top.tolist(), most.tolist(), share.tolist(), strict=True)]
 
 
@@ -193,18 +199,17 @@ class Machines:
         return top, margin
 
     def languages(self, name: str, texts: list[str]) -> list[tuple[str, float]]:
-        """(language, confidence) of texts of one family."""
+        """(language, log-odds against the next one) of texts of one family; infinite in a family of one."""
         members = FAMILIES[name]
-        if len(members) == 1:
-            return [(members[0], 1.0)] * len(texts)
+        if len(members) == 1 or not texts:
+            return [(members[0], np.inf)] * len(texts)
         _, weights, longest = self.weights[name]
         grams, owners = features(texts, longest)
         # counts over the root of their number, as in the fit; sums of one column at a time stay in the cache
         scores = np.stack([np.bincount(owners, weights=w[grams], minlength=len(texts)) for w in weights[:-1].T.copy()], 1)
         scores = scores / np.sqrt(np.maximum(np.bincount(owners, minlength=len(texts)), 1))[:, None] + weights[-1]
         top, margin = self._decide(name, scores)
-        sure = 1 / (1 + np.exp(-4 * np.clip(margin, -5, 5)))
-        return [(members[t], float(c)) for t, c in zip(top, sure, strict=True)]
+        return [(members[t], float(c)) for t, c in zip(top, 4 * np.clip(margin, 0, 5), strict=True)]
 
 
 def plain_label(label: str | None) -> str | None:
@@ -222,63 +227,84 @@ def fit(labelled: DataFrame, label: str, text: str, rows: int = SAMPLE_ROWS, cha
     code = F.lower(F.regexp_extract(F.trim(label), "^[A-Za-z]+", 0))
     picked = labelled.select(code.alias("code"), F.col(text).alias("text"))
     picked = picked.where(F.col("code").isin(*LANGUAGES) & (F.length("text") <= chars) & (F.length("text") >= 40))
-    order = Window.partitionBy("code").orderBy(F.xxhash64("text"), "text")
-    sample = picked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("code", "text").collect()
+    picked = picked.withColumn("digest", F.xxhash64("text"))
+    order = Window.partitionBy("code").orderBy("digest", "text")
+    sample = picked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("code", "digest", "text").distinct().collect()
     texts, labels = [], []
-    for r in sorted(sample, key=lambda r: (r.code, r.text)):
+    kept = dict.fromkeys(LANGUAGES, 0)
+    # in order of digest, so that the sentences are a sample too; each language weighs the same in a machine, and very many add nothing
+    for r in sorted(sample, key=lambda r: (r.code, r.digest, r.text)):
         cut = [r.text[a:b] for a, b in split(r.text)]
-        for t, (name, n, _) in zip(cut, families(cut), strict=True):
-            if name and r.code in FAMILIES[name] and n >= LEAST_LETTERS[name]:
+        for t, (name, _, _) in zip(cut, families(cut), strict=True):
+            if name and r.code in FAMILIES[name] and kept[r.code] < SAMPLE_SENTENCES:
+                kept[r.code] += 1
                 texts.append(t)
                 labels.append(r.code)
-    # each language weighs the same in a machine; very many sentences add nothing
-    kept: dict[str, int] = {}
-    both = []
-    for t, c in zip(texts, labels, strict=True):
-        kept[c] = kept.get(c, 0) + 1
-        if kept[c] <= SAMPLE_SENTENCES:
-            both.append((t, c))
-    return Machines([t for t, _ in both], [c for _, c in both])
+    return Machines(texts, labels)
 
 
 _SCHEMA = "tab string, rec_id string, label string, extent string, lang string, confidence double, start_pos int, end_pos int"
 
 
-def _spans(machines: Machines, texts: list[str]) -> Iterator[list[tuple[str, int, int, float, bool]]]:
-    """Per text: (language, start, end, confidence, whether it can be a passage of its own) of each sentence."""
+_FAMILY = {c: name for name, members in FAMILIES.items() for c in members}
+
+
+def _spans(machines: Machines, texts: list[str]) -> Iterator[list[tuple[str, int, int, float, float]]]:
+    """Per text: (language, start, end, log-odds within its family, log-odds against other families) of each sentence with a letter."""
     cuts = [[(a, b, t[a:b]) for a, b in split(t)] for t in texts]
     of: dict[str, list[tuple[int, int]]] = {}
-    seen: dict[tuple[int, int], tuple[str, int, float]] = {}
+    seen: dict[tuple[int, int], tuple[float, float]] = {}
     places = [(i, k) for i, c in enumerate(cuts) for k in range(len(c))]
     for at, (name, n, share) in zip(places, families([cuts[i][k][2] for i, k in places]), strict=True):
         if name:
             of.setdefault(name, []).append(at)
-            seen[at] = (name, n, share)
+            seen[at] = (n, LETTER_ODDS * n * (2 * share - 1))
     said: dict[tuple[int, int], tuple[str, float]] = {}
     for name, where in of.items():
-        for at, result in zip(where, machines.languages(name, [cuts[i][k][2] for i, k in where]), strict=True):
-            said[at] = result
+        for at, (lang, odds) in zip(where, machines.languages(name, [cuts[i][k][2] for i, k in where]), strict=True):
+            said[at] = lang, odds * (seen[at][0] ** 2 / (seen[at][0] ** 2 + HALF**2))
     for i, c in enumerate(cuts):
-        out = []
-        for k, (a, b, _) in enumerate(c):
-            if (i, k) in said:
-                name, n, share = seen[i, k]
-                lang, sure = said[i, k]
-                out.append((lang, a, b, sure * share, n >= LEAST_LETTERS[name]))
-        yield out
+        yield [(said[i, k][0], a, b, said[i, k][1], max(0.0, seen[i, k][1])) for k, (a, b, _) in enumerate(c) if (i, k) in said]
+
 
+def best_path(spans: list[tuple[str, int, int, float, float]], change: float = CHANGE) -> list[str]:
+    """The languages of a text's sentences that cost least: what a sentence's evidence loses, and ``change`` for each change of language.
 
-def identify(records: DataFrame, machines: Machines, least_confidence: float = 0.6) -> DataFrame:
+    The first sentence may have any language. Ties go to the earlier language in the alphabet.
+    """
+    states = sorted({s[0] for s in spans})
+    if len(states) < 2:
+        return [s[0] for s in spans]
+    cost, back = dict.fromkeys(states, 0.0), []
+    for lang, _, _, inside, outside in spans:
+        cheapest = min(states, key=cost.__getitem__)
+        came = {c: c if cost[c] <= cost[cheapest] + change else cheapest for c in states}
+        back.append(came)
+        lost = {c: 0.0 if c == lang else inside if _FAMILY[c] == _FAMILY[lang] else outside for c in states}
+        cost = {c: cost[came[c]] + (change if came[c] != c else 0.0) + lost[c] for c in states}
+    now = min(states, key=cost.__getitem__)
+    path = []
+    for came in reversed(back):
+        path.append(now)
+        now = came[now]
+    return path[::-1]
+
+
+def identify(records: DataFrame, machines: Machines) -> DataFrame:
     """Languages of ``records`` (tab, rec_id, label, text).
 
     One row with extent ``main`` per record: the language most characters are
-    written in, its confidence the share-weighted confidence of its sentences.
-    One row with extent ``segment`` per run of sentences in another language,
-    with its offsets. Sentences too short to tell, and those below
-    ``least_confidence``, go with the main language. Null and blank texts, and
-    texts without letters, give no row.
+    written in. One row with extent ``segment`` per run of sentences in another
+    language, with its offsets. A short sentence is a segment where its
+    evidence outweighs the changes of language around it. The confidence is
+    the mean probability of the row's sentences by characters; a sentence
+    that goes with its neighbours against its own evidence counts one half. Null
+    and blank texts, and texts without letters, give no row.
     """
 
+    def sure(own: bool, odds: float) -> float:
+        return 1 / (1 + float(np.exp(-min(odds, 30.0)))) if own else 0.5
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
@@ -288,24 +314,25 @@ def identify(records: DataFrame, machines: Machines, least_confidence: float = 0
                 for r, spans in zip(part, _spans(machines, [r["text"] for r in part]), strict=True):
                     if not spans:
                         continue
-                    chars: dict[str, float] = {}
-                    for lang, a, b, sure, own in spans:
-                        chars[lang] = chars.get(lang, 0) + (b - a) * (sure if own else 0.05)
+                    path = best_path(spans)
+                    chars: dict[str, int] = {}
+                    for lang, (_, a, b, _, _) in zip(path, spans, strict=True):
+                        chars[lang] = chars.get(lang, 0) + b - a
                     main = max(sorted(chars), key=chars.__getitem__)
-                    total = sum(b - a for _, a, b, _, _ in spans)
-                    good = sum((b - a) * (s if c == main else 1 if not own else 0) for c, a, b, s, own in spans)
                     head = {k: r[k] for k in ("tab", "rec_id", "label")}
-                    out.append(head | {"extent": "main", "lang": main, "confidence": good / total, "start_pos": spans[0][1], "end_pos": spans[-1][2]})
-                    run_: list[tuple[int, int, float]] = []
-                    now = main
-                    for lang, a, b, sure, own in [*spans, (main, 0, 0, 1.0, True)]:
-                        lang = lang if own and sure >= least_confidence else main
-                        if lang != now and run_:
-                            out.append(head | {"extent": "segment", "lang": now, "confidence": sum(x[2] for x in run_) / len(run_), "start_pos": run_[0][0], "end_pos": run_[-1][1]})
-                            run_ = []
+                    now = None
+                    runs: list[list] = []  # [language, start, end, characters, sum of their probabilities]; the main one first
+                    all_ = [main, spans[0][1], spans[-1][2], 0, 0.0]
+                    for lang, (own, a, b, inside, outside) in zip(path, spans, strict=True):
+                        if lang != main and lang != now:
+                            runs.append([lang, a, b, 0, 0.0])
+                        held = all_ if lang == main else runs[-1]
+                        held[2] = max(held[2], b)
+                        held[3] += b - a
+                        held[4] += (b - a) * sure(lang == own, min(inside, outside))
                         now = lang
-                        if lang != main:
-                            run_.append((a, b, sure))
+                    for k, (lang, a, b, n, p) in enumerate([all_, *runs]):
+                        out.append(head | {"extent": "segment" if k else "main", "lang": lang, "confidence": p / n, "start_pos": a, "end_pos": b})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 

@@ -149,13 +149,33 @@ def test_identify(spark, machines):
     df = spark.createDataFrame([(*r, "x") for r in rows], "tab string, rec_id string, label string, text string, lang string")
     got = sorted(map(tuple, languages.wrong_or_further(languages.identify(df, machines)).collect()))
     assert [g for g in got if g[3] == "segment"] == [("checks", "3", "ru", "segment"), ("library_docs", "1", "ru", "segment"), ("library_docs", "2", "ru", "segment")]
-    assert [g[1] for g in got if g[3] == "main"] == ["3", "6", "2"]
+    assert sorted(g[1] for g in got if g[3] == "main") == ["2", "3", "6"]
     assert languages.identify(df.where("false"), machines).count() == 0
 
 
 def test_fit_without_labels(spark):
     df = spark.createDataFrame([], "lang string, content string")
-    assert languages.fit(df, "lang", "content").languages("cyrillic", ["привет"]) == [("ru", 1.0)]
+    assert languages.fit(df, "lang", "content").languages("cyrillic", ["привет"]) == [("ru", float("inf"))]
+
+
+def test_blank_batches_and_blank_labelled_rows(spark):
+    """A batch of blank texts only, and a labelled row of blanks, give nothing and break nothing."""
+    blank = spark.createDataFrame([("library_docs", str(k), "en", " " * 60 + "\n" * (k % 3)) for k in range(600)], "tab string, rec_id string, label string, text string")
+    fitted = languages.fit(blank, "label", "text")
+    assert languages.families([]) == [] and languages.identify(blank, fitted).count() == 0
+    assert list(languages._spans(fitted, ["   ", "\n"])) == [[], []]
+
+
+def test_short_sentences_go_by_evidence_and_neighbours(machines):
+    def path(text):
+        spans = next(languages._spans(machines, [text]))
+        return languages.best_path(spans)
+
+    here = "The house of the man is not in this town and they have it. "
+    assert path(here + "Да, это так. " + here) == ["en", "ru", "en"]
+    assert path(here + "好的。 " + here) == ["en", "zh", "en"]
+    assert path(here + "Data RX-7. " + here) == ["en"] * 3
+    assert languages.best_path([("en", 0, 9, 5.0, 9.0), ("pt", 9, 12, 0.3, 2.0), ("en", 12, 30, 5.0, 9.0)]) == ["en"] * 3
 
 
 def test_held_out_languages(spark):
