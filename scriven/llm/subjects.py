@@ -38,7 +38,8 @@ ROUNDS = ((0.4, 3), (0.5, 5), (0.6, 7))
 SHRINK = 4.0
 #: Confidence that a longer pattern must add to its parts.
 GAIN = 0.05
-GROUPS = 64
+#: Groups that terms are dealt to; a sentence goes to at most so many.
+GROUPS = 16
 
 _RUN = re.compile(r"[ก-๛]+|[ぁ-ヿ㐀-鿿々]+|[^\W\d_ก-๛ぁ-ヿ㐀-鿿々]+|\d+")
 _ASCII_RUN = re.compile(r"[a-z]+|[0-9]+")
@@ -141,8 +142,9 @@ class Rules:
 
     def __init__(self, subjects: list[str]):
         self.subjects = subjects
-        self.single: dict[str, list[tuple[int, float]]] = {}
-        self.joint: dict[str, list[tuple[frozenset[str], int, float]]] = {}
+        # rules as (confidence, minus the subject's number): the greatest is the surest, of equal ones the first subject's
+        self.single: dict[str, tuple[float, int]] = {}
+        self.joint: dict[str, list[tuple[tuple[float, int], frozenset[str]]]] = {}
         self.known: set[str] = set()  # every term of a rule
         self.pairs: dict[str, set[str]] = {}  # second words of word pairs among them, by the first
 
@@ -153,9 +155,10 @@ class Rules:
                 a, b = t.split(" ")
                 self.pairs.setdefault(a, set()).add(b)
         if len(pattern) == 1:
-            self.single.setdefault(pattern[0], []).append((subject, confidence))
+            self.single[pattern[0]] = (confidence, -subject)
         else:
-            self.joint.setdefault(pattern[0], []).append((frozenset(pattern[1:]), subject, confidence))
+            # found by its rarest term, which growth started from
+            self.joint.setdefault(pattern[-1], []).append(((confidence, -subject), frozenset(pattern[:-1])))
 
     def terms_in(self, plain: str) -> set[str]:
         """The terms of rules in a plain sentence: those of ``terms_of`` that are known."""
@@ -181,20 +184,18 @@ class Rules:
     def subject_of(self, plain: str) -> tuple[int, float]:
         """(subject, confidence) of the surest rule that matches a plain sentence, or (-1, 0)."""
         terms = self.terms_in(plain)
-        if not terms:
-            return -1, 0.0
-        # rules that overlap are no evidence of their own: the surest rule decides, and only between equally sure ones their sum
-        evidence: dict[int, tuple[float, float]] = {}
-        for t in sorted(terms):  # in one order: sums of floats depend on it
-            met = list(self.single.get(t, ()))
-            met += [(s, c) for rest, s, c in self.joint.get(t, ()) if rest <= terms]
-            for s, c in met:
-                best, total = evidence.get(s, (0.0, 0.0))
-                evidence[s] = max(best, c), total + c
-        if not evidence:
-            return -1, 0.0
-        top = max(sorted(evidence), key=evidence.__getitem__)
-        return top, evidence[top][0]
+        single, joint = self.single, self.joint
+        # rules that overlap are no evidence of their own: the surest one decides
+        best = (0.0, 1)
+        for t in terms:
+            if t in single and single[t] > best:
+                best = single[t]
+        for t in terms:
+            if t in joint:
+                for rule, rest in joint[t]:
+                    if rule > best and rest <= terms:
+                        best = rule
+        return (-best[1], best[0]) if best[0] else (-1, 0.0)
 
     def shares(self, text: str | None) -> dict[int, tuple[float, float]]:
         """{subject: (share of the sentences that deal with it, mean confidence)}."""
@@ -221,11 +222,12 @@ def mine(sentences: DataFrame, classes: DataFrame, subjects: list[str], wanted:
     # frequent subjects, which wrong labels also name most, count no more than rare ones
     balance = F.create_map(*[F.lit(x) for s, n in sorted(sizes.items()) for x in (s, min(3.0, even / n))])
     rows = sentences.join(F.broadcast(classes.withColumn("weight", F.col("weight") * balance[F.col("subject")])), "doc_id")
-    # the list of frequent terms: enough sentences, some of them of one subject, in several texts
+    # the list of frequent terms: enough sentences, in several texts, and enough of them of one subject; a rule's every term must have half the
+    # confidence wanted, so terms that stand with all subjects alike do not make the trees wide
     counts = rows.select("doc_id", "subject", "weight", F.explode("terms").alias("term")).groupBy("term", "subject")
     counts = counts.agg(F.sum("weight").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"))
-    frequent = counts.where((F.col("n") >= least) & (F.col("low") != F.col("high")) & (F.col("most") >= least * wanted))
+    frequent = counts.where((F.col("n") >= least) & (F.col("low") != F.col("high")) & (F.col("most") >= least * wanted) & (F.col("most") >= F.col("n") * (wanted / 2)))
     names = frequent.select("term", "n").toPandas().sort_values(["n", "term"], ascending=[False, True])["term"].tolist()
     if not names:
         return rules

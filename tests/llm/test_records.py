@@ -187,26 +187,32 @@ def test_mixture_meets_the_target_of_a_tiny_source(spark):
 
 
 def test_pattern_growth_equals_counting():
+    """Every pattern that is surer than its parts is grown, with the confidence that plain counting gives; closed ones only."""
     import itertools
 
-    import numpy as np
-
     rng = random.Random(6)
     tree, rows = subjects.PrefixTree(2), []
-    for _ in range(200):
-        ranks = sorted(rng.sample(range(8), rng.randint(1, 5)))
+    for _ in range(300):
         s = rng.randint(0, 1)
-        rows.append((ranks, s))
-        tree.add(ranks, np.eye(2)[s])
-    for longest in (2, 3):
-        got = {tuple(sorted(p)): tuple(c) for p, c in tree.grow(None, 3, longest)}
-        want = {}
-        for n in range(1, longest + 1):
-            for p in itertools.combinations(range(8), n):
-                c = tuple(float(sum(set(p) <= set(r) and s == k for r, s in rows)) for k in (0, 1))
-                if sum(c) >= 3:
-                    want[p] = c
-        assert got == want
+        ranks = sorted(rng.sample(range(8), rng.randint(1, 5)) if s else rng.sample(range(2, 8), rng.randint(1, 4)))
+        rows.append((frozenset(ranks), s))
+        tree.add(tuple(ranks), [float(s == 0), float(s == 1)])
+
+    def sure(p, s):
+        inside = [k for r, k in rows if p <= r]
+        return (inside.count(s) + subjects.SHRINK / 2) / (len(inside) + subjects.SHRINK)
+
+    got = {frozenset(p): (s, c) for p, s, c in tree.grow(None, 0.6, 3)}
+    assert got and all(abs(sure(p, s) - c) < 1e-9 and c >= 0.6 for p, (s, c) in got.items())
+    assert max(map(len, got)) >= 2
+    for n in (1, 2, 3):
+        for p in map(frozenset, itertools.combinations(range(8), n)):
+            s = max((0, 1), key=lambda s: sure(p, s))
+            parts = [q for k in range(1, n) for q in map(frozenset, itertools.combinations(p, k))]
+            whole = sum(p <= r for r, _ in rows)
+            # surer than all its parts by the gain, every part half sure, and no part has the same sentences
+            if whole >= 3 and sure(p, s) >= 0.6 and all(sure(q, s) + subjects.GAIN < sure(p, s) and sure(q, s) >= 0.3 and sum(q <= r for r, _ in rows) > whole for q in parts):
+                assert p in got, p
 
 
 def test_subjects(spark):
