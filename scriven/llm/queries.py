@@ -56,11 +56,12 @@ def p2_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _library(spark, sf_dir).withColumnRenamed("id", "doc_id")
-    return sentences.sentence_offsets(docs, "doc_id", "content")
+    return sentences.sentence_offsets(docs, "doc_id", "content", sentences.fit_words(docs, "content"))
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.pieces_in_sentences(_library(spark, sf_dir), table(spark, sf_dir, "sentences"))
+    docs = _library(spark, sf_dir)
+    return sentences.pieces_in_sentences(docs, table(spark, sf_dir, "sentences"), sentences.fit_words(docs, "content"))
 
 
 def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

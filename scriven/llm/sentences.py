@@ -1,24 +1,32 @@
 """Sentence boundaries across languages and scripts (problem 3).
 
-A text is read as a lattice: its gaps (terminators, closing quotes, line
-breaks and, in Thai, blanks) are nodes, and the stretches between them are
-arcs. Every gap gets the log-odds of a boundary; the best path cuts where they
-are positive, never leaving a sentence without a letter or digit.
-
-In spaced scripts the odds come from the terminator and its neighbourhood:
-abbreviations, initials, ordinals, the case of the next word. In scripts
-without spaces the words around a gap come from a word lattice over a
-dictionary of final particles, opening and continuing words, and the odds from
-the last and the first of them. Nothing inside a quotation or bracket is cut.
-Offsets refer to the stored text: invisible characters and width or look-alike
-variants are mapped one to one, or dropped with their places remembered.
+A text is read as a lattice: its gaps are nodes, the stretches between them are
+arcs. A gap has log-odds of a boundary; an arc costs what it is longer than a
+sentence usually is. The best path through the lattice gives the sentences.
+
+In spaced scripts the gaps are terminators, closing quotes and line breaks, and
+their odds come from the terminator and its neighbourhood: abbreviations,
+initials, ordinals, the case of the next word. Scripts without spaces are
+segmented by a word lattice over a dictionary of particles, conjunctions and
+openers; gaps are classified by the last word before them and the first behind
+them, whose log-odds are counted in the texts (``fit_words``): how often a word
+stands at a sure boundary against elsewhere. There a gap is possible between
+any two words, marked or not; one without a mark has to outweigh ``UNMARKED``,
+by strong words or by a stretch that is too long to be one sentence. Nothing
+inside a quotation or bracket is cut. Offsets refer to the stored text:
+invisible characters and width or look-alike variants are mapped one to one, or
+dropped with their places remembered.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,15 +71,29 @@ FUNCTION_WORDS = _fold(
     "в во на по с со к из от до через после перед для при о об и или что как не это за"
 )
 # fixed values: dictionary of the word lattice for scripts without spaces
-FINAL_PARTICLES = frozenset("了 吗 呢 吧 啊 的 也没有 没有 た だ である です ます ない か ね よ った した ครับ ค่ะ แล้ว นะ".split())
+FINAL_PARTICLES = frozenset(
+    "了 吗 呢 吧 啊 呀 嘛 哦 啦 呗 罢了 而已 似的 来着 为止 与否 没有 "
+    "た だ です ます である だった であった ました でした ない ません か ね よ わ ぞ だろう でしょう のだ のである ください らしい ようだ "
+    "ครับ ค่ะ คะ นะ แล้ว ด้วย เลย หรือไม่ ไหม เท่านั้น นั้น นี้".split()
+)
 CONTINUING = frozenset(
-    "但 但是 而 而且 却 因为 所以 并 并且 以及 和 与 的 随后 之后 这 —— — と って が けれど けど ので から し に を は も の で て และ แต่ หรือ ที่ ซึ่ง โดย เพราะ ๆ".split()
+    "但 但是 而 而且 却 因为 所以 并 并且 以及 和 与 或 或者 及 的 地 得 之 随后 之后 "
+    "と って が けれど けど けれども ので から し に を は も の で て へ や より まで など という "
+    "และ แต่ หรือ ที่ ซึ่ง โดย เพราะ ว่า ของ กับ ให้ เป็น ๆ ฯ".split()
 )
 OPENING = frozenset(
-    "本文 结果 从 在 为了 与 这与 版本 真没想到 然而 此外 因此 首先 其次 最后 本研究 しかし また さらに そして งานวิจัย ผลการทดลอง ระหว่าง เมื่อ รุ่น อย่างไรก็ตาม นอกจากนี้".split()
+    "然而 此外 因此 另外 首先 其次 最后 总之 同时 不过 于是 接着 例如 比如 其中 尽管 虽然 如果 由于 为了 根据 按照 结果 本文 本研究 我们 他们 在 从 对于 关于 当 目前 近年来 事实上 换言之 综上所述 "
+    "しかし また さらに そして なお ただし したがって 一方 例えば つまり そこで まず 次に 最後に このため その後 本研究 本稿 これ それ 我々 私たち もし "
+    "อย่างไรก็ตาม นอกจากนี้ ดังนั้น จากนั้น ต่อมา เมื่อ ระหว่าง หลังจาก ในขณะที่ ผลการ การศึกษา งานวิจัย ทั้งนี้ สำหรับ เนื่องจาก ถ้า หาก แม้ เขา เรา ใน จาก ตาม".split()
 )
-_LEXICON = FINAL_PARTICLES | CONTINUING | OPENING
-_LONGEST = max(map(len, _LEXICON))
+_DICTIONARY = FINAL_PARTICLES | CONTINUING | OPENING
+
+#: Log-odds of a boundary between two words without a mark, before the words are looked at.
+UNMARKED = -6.0
+#: Characters that a sentence is hardly longer than (Chinese and Japanese, Thai, spaced scripts), and the cost of each further one.
+LONG, LONG_THAI, LONG_SPACED, LENGTH_COST = 120, 200, 600, 0.1
+#: Greatest log-odds of one word, and the occurrences at which half of them is counted, half assumed.
+WORD_ODDS, HALF_KNOWN = 6.0, 10.0
 
 _OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")）", "（": ")）", "[": "]", '"': '"', "《": "》", "【": "】"}
 _MARKS = re.compile("[“”„«»「」『』()（）\\[\\]\"《》【】]|\n[ \n]*\n")
@@ -97,23 +119,75 @@ def shadow(text: str) -> tuple[str, list[int] | None]:
     return (text.translate(_ONE_TO_ONE) if _VARIANT.search(text) else text), places
 
 
-def lattice_words(run: str) -> list[str]:
-    """The best path through the word lattice of a run of a spaceless script: fewest words outside the dictionary."""
-    best: list[tuple[int, int]] = [(0, 0)]
-    for end in range(1, len(run) + 1):
-        options = [(best[end - 1][0] + 2, end - 1)]
-        for begin in range(max(0, end - _LONGEST), end):
-            if run[begin:end] in _LEXICON:
-                options.append((best[begin][0] + 1, begin))
-        best.append(min(options))
-    words, end = [], len(run)
-    while end:
-        begin = best[end][1]
-        words.append(run[begin:end])
-        end = begin
+class Words:
+    """Log-odds of a boundary behind and before each dictionary word; assumed where nothing is counted."""
+
+    def __init__(self, counts: dict[str, tuple[int, int, int]] | None = None, sentences: int = 0, chars: int = 0):
+        """``counts`` has (occurrences, sentences ended, sentences begun) by word."""
+        self.final = {w: 2.0 if w in FINAL_PARTICLES else 0.0 for w in _DICTIONARY}
+        self.opening = {w: 3.0 if w in OPENING else -3.0 if w in CONTINUING else 0.0 for w in _DICTIONARY}
+        gaps = max(1.0, chars / 3)  # about one word in three characters
+        for w, (n, ended, begun) in (counts or {}).items():
+            known = n / (n + HALF_KNOWN)
+            for table, k in ((self.final, ended), (self.opening, begun)):
+                odds = math.log((k + 0.5) / (sentences + 1)) - math.log((n - k + 0.5) / (gaps + 1))
+                table[w] = known * max(-WORD_ODDS, min(WORD_ODDS, odds)) + (1 - known) * table[w]
+
+
+PLAIN_WORDS = Words()
+_AUTOMATON: list = []  # built once per process
+
+
+def lattice_words(s: str) -> list[tuple[int, int]]:
+    """(start, end) of the dictionary words on the best path through the word lattice of all spaceless runs of ``s``.
+
+    A word costs one, a character outside the dictionary two. All words that
+    occur come from one pass of an automaton; only their ends are nodes, as
+    characters outside the dictionary only carry the best node so far along.
+    """
+    if not _AUTOMATON:
+        a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for w in _DICTIONARY:
+            a.add_word(w)
+        a.make_automaton()
+        _AUTOMATON.append(a)
+    ends, costs, nodes = [0], [0], [(0, -1)]  # nodes that are better than all before: end, cost less two per character, (start, node before)
+    for last, size in _AUTOMATON[0].iter(s):
+        end = last + 1
+        start = end - size
+        at = bisect_right(ends, start) - 1
+        cost = costs[at] + 1 - 2 * size
+        if cost < costs[-1]:
+            if ends[-1] == end:
+                costs[-1], nodes[-1] = cost, (start, at)
+            else:
+                ends.append(end)
+                costs.append(cost)
+                nodes.append((start, at))
+    words, at = [], len(ends) - 1
+    while at > 0:
+        start, before = nodes[at]
+        words.append((start, ends[at]))
+        at = before
     return words[::-1]
 
 
+class Lattice:
+    """The words of a text by their ends and starts, and what they say about a gap."""
+
+    def __init__(self, s: str, words: Words):
+        self.path = lattice_words(s) if _SPACELESS.search(s) else []
+        self.words = words
+        self.ends = {b: s[a:b] for a, b in self.path}
+        self.starts = {a: s[a:b] for a, b in self.path}
+
+    def opening(self, at: int) -> float:
+        return self.words.opening[self.starts[at]] if at in self.starts else 0.0
+
+    def odds(self, left: int, right: int) -> float:
+        return (self.words.final[self.ends[left]] if left in self.ends else 0.0) + self.opening(right)
+
+
 def _protected(s: str) -> list[tuple[int, int]]:
     """Closed quotations and brackets as (place of the opening mark, place of the closing one), outermost only, in order."""
     stack: list[tuple[str, int]] = []
@@ -166,18 +240,6 @@ def _heading(s: str, begin: int) -> bool:
     return bool(after) and _case(after, 0) != "lower" and not _CODE.match(after)
 
 
-def _spaceless_odds(s: str, at: int, run: str, next_at: int) -> float:
-    before = re.search(r"[฀-๿぀-ヿ㐀-鿿]{1,12}$", s[max(0, at - 12) : at])
-    ahead = re.match(r"[—฀-๿぀-ヿ㐀-鿿]{1,12}", s[next_at : next_at + 12])
-    odds = 0.0
-    if before and lattice_words(before.group())[-1] in FINAL_PARTICLES:
-        odds += 1
-    if ahead:
-        first = lattice_words(ahead.group())[0]
-        odds += 2 if first in OPENING else -6 if first in CONTINUING or first[0] == "—" else 0
-    return odds
-
-
 def _case(s: str, at: int) -> str:
     """How the word at ``at`` starts: upper (also an opening mark, or a word of turned-round case), lower, caps, digit or other."""
     if s[at] in "“„«\"¿¡「『":
@@ -191,14 +253,14 @@ def _case(s: str, at: int) -> str:
     return "caps" if len(word) > 1 and word.isupper() and s[at + len(word) : at + len(word) + 1] != "-" else "upper" if word[0].isupper() else "other"
 
 
-def _terminator_odds(s: str, begin: int, end: int, close: int, next_at: int, line_start: int) -> float:
+def _terminator_odds(s: str, begin: int, end: int, close: int, next_at: int, line_start: int, lattice: Lattice) -> float:
     """Log-odds that the terminators s[begin:end], with closing marks up to ``close``, end a sentence; s[next_at] is the next character."""
     if next_at >= len(s):
         return 20
     run, ahead = s[begin:end], s[next_at]
     parted = next_at > close
     if set(run) & set("。！？"):
-        return 8 if ahead not in "，,、" else -8
+        return 8 + lattice.odds(begin, next_at) / 2 if ahead not in "，,、" else -12
     if ahead in ",;:—–-，、；：%/)]":
         return -12
     before = s[begin - 1] if begin else ""
@@ -209,9 +271,9 @@ def _terminator_odds(s: str, begin: int, end: int, close: int, next_at: int, lin
         word = re.match(r"\w+", s[next_at : next_at + 20])
         if word and word.group().casefold() in ("but", "and", "or", "mais", "et", "pero", "y", "mas", "e", "aber", "und", "но", "и"):
             return -8
-        return 1.5 + (_spaceless_odds(s, begin, run, next_at) if cjk else 1)
+        return 1.5 + (((lattice.odds(begin, next_at) + lattice.opening(next_at)) / 2 if ahead != "—" else -6) if cjk else 1)
     if cjk and (set(run) & set("!?")) and (not parted or _SPACELESS.match(before)) and not ahead.islower():
-        return 6 + _spaceless_odds(s, begin, run, next_at) / 3
+        return 6 + lattice.odds(begin, next_at) / 2
     case = _case(s, next_at)
     if not parted and close == end:
         # no room behind the mark: decimals, codes, dotted abbreviations; or a blank that was lost between two sentences
@@ -245,9 +307,8 @@ def _terminator_odds(s: str, begin: int, end: int, close: int, next_at: int, lin
     return odds
 
 
-def _gaps(s: str) -> Iterator[tuple[int, int, float]]:
-    """(end of the left side, begin of the right side, log-odds of a boundary) of each gap, in order."""
-    spans = _protected(s)
+def _gaps(s: str, spans: list[tuple[int, int]], lattice: Lattice) -> Iterator[tuple[int, int, float]]:
+    """(end of the left side, begin of the right side, log-odds of a boundary) of each gap with a mark, a line break or a Thai blank, in order."""
     size, k, line_start, heads = len(s), 0, 0, _heading(s, 0)
     cut_at = 0  # begin of the present sentence, as far as it is certain
     thai = bool(_THAI.search(s))
@@ -274,7 +335,7 @@ def _gaps(s: str) -> Iterator[tuple[int, int, float]]:
                 yield begin, end, 20
                 cut_at = end
             elif thai and _THAI.search(piece) and not inside:
-                yield begin, end, 6 + _spaceless_odds(s, begin, " ", end) / 6
+                yield begin, end, 6 + lattice.odds(begin, end) / 2
                 cut_at = end
                 heads = _heading(s, end)
             elif not ended and not inside and _heading(s, end) and s[begin - 1 : begin] in _CLOSERS:
@@ -284,7 +345,7 @@ def _gaps(s: str) -> Iterator[tuple[int, int, float]]:
             continue
         if m.group()[0] == " ":
             if thai and not inside and end < size and s[end] != "\n" and _THAI.search(s, cut_at, begin) and not heads:
-                yield begin, end, 6 + _spaceless_odds(s, begin, " ", end) / 6
+                yield begin, end, 6 + lattice.odds(begin, end) / 2
                 cut_at = end
             continue
         if heads:
@@ -308,11 +369,11 @@ def _gaps(s: str) -> Iterator[tuple[int, int, float]]:
                 odds = -12.0
             elif _SPACELESS.match(ahead) and next_at == close:
                 whole = not s[cut_at:quote_from].strip()
-                odds = (1 if whole else -4) + _spaceless_odds(s, begin, "", next_at) / 3
+                odds = (1 if whole else -4) + lattice.opening(next_at)
             else:
                 odds = 2.0 if _case(s, next_at) == "upper" and (next_at > close or quote_from == cut_at) else -9.0
         else:
-            odds = _terminator_odds(s, begin, end, close, next_at, line_start)
+            odds = _terminator_odds(s, begin, end, close, next_at, line_start, lattice)
         yield close, next_at, odds
         if odds > 0:
             cut_at = next_at
@@ -323,18 +384,95 @@ def _gaps(s: str) -> Iterator[tuple[int, int, float]]:
             last = close
 
 
-def split(text: str | None) -> list[tuple[int, int]]:
+def _unmarked(s: str, begin: int, end: int, spans: list[tuple[int, int]], lattice: Lattice) -> list[tuple[int, int, float]]:
+    """Gaps of a stretch between two characters of words, the right one the start of a dictionary word or the left one the end of one."""
+    out, k = [], 0
+    for at in sorted({*lattice.starts, *lattice.ends}):
+        if not begin < at < end or not (s[at - 1].isalnum() or at in lattice.ends) or not (s[at].isalnum() or at in lattice.starts):
+            continue
+        while k < len(spans) and spans[k][1] < at:
+            k += 1
+        if (odds := lattice.odds(at, at)) > 0 and (k == len(spans) or spans[k][0] >= at):
+            out.append((at, at, UNMARKED + odds))
+    return out
+
+
+def _most(s: str, begin: int, end: int) -> int:
+    """How long a sentence of the script of a stretch hardly is."""
+    if s.count(" ", begin, end) * 15 > end - begin or not _SPACELESS.search(s, begin, end):
+        return LONG_SPACED
+    return LONG_THAI if _THAI.search(s, begin, end) else LONG
+
+
+def _best_path(gaps: list[tuple[int, int, float]], begin: int, end: int, most: int) -> list[tuple[int, int, float]]:
+    """The gaps to cut the stretch from ``begin`` to ``end`` at: the greatest sum of odds less the cost of arcs longer than ``most``.
+
+    Linear in the gaps: predecessors within ``most`` are a sliding maximum, those further off one running maximum.
+    """
+    value, back = [0.0], [-1]
+    at = [begin, *(g[1] for g in gaps)]
+    near: deque[int] = deque([0])
+    far, far_at, seen = -math.inf, -1, 0
+    for k in range(1, len(gaps) + 2):
+        left, odds = (gaps[k - 1][0], gaps[k - 1][2]) if k <= len(gaps) else (end, 0.0)
+        while at[seen] < left - most and seen < k - 1:
+            if value[seen] + LENGTH_COST * at[seen] > far:
+                far, far_at = value[seen] + LENGTH_COST * at[seen], seen
+            seen += 1
+        while near and near[0] < seen:
+            near.popleft()
+        best, before = (value[near[0]], near[0]) if near else (-math.inf, -1)
+        if near and left - at[near[0]] > most:
+            best -= LENGTH_COST * (left - at[near[0]] - most)
+        if far_at >= 0 and far - LENGTH_COST * (left - most) > best:
+            best, before = far - LENGTH_COST * (left - most), far_at
+        value.append(best + odds)
+        back.append(before)
+        if k <= len(gaps):
+            while near and value[near[-1]] <= value[k]:
+                near.pop()
+            near.append(k)
+    path, k = [], back[-1]
+    while k > 0:
+        path.append(gaps[k - 1])
+        k = back[k]
+    return path[::-1]
+
+
+def split(text: str | None, words: Words = PLAIN_WORDS) -> list[tuple[int, int]]:
     """Offsets (start, end) of the sentences of ``text``; blank and null texts have none."""
     if not text or text.isspace():
         return []
     s, places = shadow(text)
-    # best path: a cut is taken where its odds are positive and both sides hold a word
+    spans = _protected(s)
+    lattice = Lattice(s, words)
+    # gaps at -8 or less are sure to lie inside a sentence
+    gaps = [g for g in _gaps(s, spans, lattice) if g[2] > -8]
     cuts: list[tuple[int, int]] = []
     begin = 0
-    for left, right, odds in _gaps(s):
-        if odds > 0 and left > begin and _WORD.search(s, begin, left):
-            cuts.append((begin, left))
-            begin = right
+
+    def cut(chosen: list[tuple[int, int, float]]) -> None:
+        # a stretch without a letter or digit is no sentence
+        nonlocal begin
+        for left, right, _ in chosen:
+            if left > begin and _WORD.search(s, begin, left):
+                cuts.append((begin, left))
+                begin = right
+
+    # gaps with positive odds are on every best path, as a longer arc never costs less; between them only arcs that cost can change it
+    sure = [g for g in gaps if g[2] > 0]
+    chosen: list[tuple[int, int, float]] = []
+    starts = [0, *(g[1] for g in sure)]
+    met = sorted(at for at in lattice.starts.keys() & lattice.ends.keys() if lattice.odds(at, at) > -UNMARKED)
+    for k, (a, b) in enumerate(zip(starts, [*(g[0] for g in sure), len(s)], strict=True)):
+        if b - a > LONG and b - a > (most := _most(s, a, b)) or bisect_right(met, b) > bisect_right(met, a):
+            inner = [g for g in gaps if a < g[0] and g[1] < b]
+            if lattice.path and (most := _most(s, a, b)) < LONG_SPACED:
+                marked = {x for g in inner for x in g[:2]}
+                inner = sorted(inner + [g for g in _unmarked(s, a, b, spans, lattice) if g[0] not in marked])
+            chosen += _best_path(inner, a, b, _most(s, a, b))
+        chosen += sure[k : k + 1]
+    cut(chosen)
     if begin < len(s):
         if _WORD.search(s, begin) or not cuts:
             cuts.append((begin, len(s)))
@@ -371,7 +509,58 @@ def split(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_offsets(docs: DataFrame, key: str, text: str) -> DataFrame:
+def word_counts(text: str) -> tuple[dict[str, list[int]], int, int]:
+    """({word: [occurrences, sentences ended, sentences begun]}, sentences, characters) of the spaceless sentences of a text, as marks cut them."""
+    counts: dict[str, list[int]] = {}
+    n = chars = 0
+    s, _ = shadow(text)
+    if not _SPACELESS.search(s):
+        return counts, 0, 0
+    path = lattice_words(s)
+    for a, b in path:
+        counts.setdefault(s[a:b], [0, 0, 0])[0] += 1
+    ends, starts = {b: s[a:b] for a, b in path}, {a: s[a:b] for a, b in path}
+    for a, b in split(s):
+        if _SPACELESS.search(s, a, b):
+            n, chars = n + 1, chars + b - a
+            while b > a and not s[b - 1].isalnum() and b not in ends:
+                b -= 1
+            if b in ends:
+                counts[ends[b]][1] += 1
+            if a in starts:
+                counts[starts[a]][2] += 1
+    return counts, n, chars
+
+
+def fit_words(docs: DataFrame, text: str) -> Words:
+    """Log-odds of the dictionary's words from counts over all texts; an empty table leaves those assumed.
+
+    The boundaries counted are those that marks, line ends and Thai blanks
+    make sure. Counts leave the map summed by word; the result has a row per dictionary word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, list[int]] = {}
+        for batch in batches:
+            for t in batch.column("text_").to_pylist():
+                counts, n, chars = word_counts(t)
+                if n:
+                    counts[""] = [n, chars, 0]
+                for w, c in counts.items():
+                    held = total.setdefault(w, [0, 0, 0])
+                    for k in range(3):
+                        held[k] += c[k]
+        rows = [pa.array(list(total), pa.string())] + [pa.array([c[k] for c in total.values()], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays(rows, ["word", "n", "ended", "begun"])
+
+    picked = docs.select(F.col(text).alias("text_")).where(F.col("text_").isNotNull())
+    sums = picked.mapInArrow(run, "word string, n bigint, ended bigint, begun bigint").groupBy("word")
+    rows = {r.word: (r.n, r.ended, r.begun) for r in sums.agg(*[F.sum(c).alias(c) for c in ("n", "ended", "begun")]).collect()}
+    sentences, chars, _ = rows.pop("", (0, 0, 0))
+    return Words(rows, sentences, chars)
+
+
+def sentence_offsets(docs: DataFrame, key: str, text: str, words: Words = PLAIN_WORDS) -> DataFrame:
     """(key, start_pos, end_pos) of every sentence of the distinct rows; null and blank texts give none.
 
     One pass over the texts in the map; only the offsets are shuffled, to drop
@@ -383,7 +572,7 @@ def sentence_offsets(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             keys, starts, ends = [], [], []
             for i, t in enumerate(batch.column("text_").to_pylist()):
-                for a, b in split(t):
+                for a, b in split(t, words):
                     keys.append(i)
                     starts.append(a)
                     ends.append(b)
@@ -396,12 +585,12 @@ def sentence_offsets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return picked.mapInArrow(run, f"key_ {kind}, start_pos int, end_pos int").withColumnRenamed("key_", key).distinct()
 
 
-def pieces_in_sentences(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+def pieces_in_sentences(docs: DataFrame, pieces: DataFrame, words: Words = PLAIN_WORDS) -> DataFrame:
     """(doc_id, idx, start_pos, end_pos): the true sentences that each badly cut piece touches.
 
     ``pieces`` has (doc_id, idx, start_pos, end_pos) as the present splitter
     cut them; pieces with null offsets or without a document give no row.
     """
-    true = sentence_offsets(docs.select(F.col("id").alias("doc_id"), "content"), "doc_id", "content")
+    true = sentence_offsets(docs.select(F.col("id").alias("doc_id"), "content"), "doc_id", "content", words)
     cut = pieces.select("doc_id", "idx", F.col("start_pos").alias("from_"), F.col("end_pos").alias("to_")).distinct()
     return cut.join(true, "doc_id").where("start_pos < to_ AND from_ < end_pos").select("doc_id", "idx", "start_pos", "end_pos")

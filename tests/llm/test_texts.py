@@ -26,6 +26,8 @@ def cut(text):
         ("Version 2.1.3 of X handles a... but not bits. Code XF-20.In a sample", ["Version 2.1.3 of X handles a... but not bits.", "Code XF-20.", "In a sample"]),
         ("​He w­ent.​  Sh⁠e too.", ["​He w­ent.​", "Sh⁠e too."]),
         ("...", ["..."]),
+        ("天很黑" * 30 + "吗然而" + "无人来" * 30, ["天很黑" * 30 + "吗", "然而" + "无人来" * 30]),
+        ("他说：“真的吗？”随后没有人来。", ["他说：“真的吗？”随后没有人来。"]),
         ("  \n\t ", []),
     ],
 )
@@ -44,6 +46,55 @@ def test_sentences_cover_all_but_blanks():
         assert all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
 
 
+def test_best_path_equals_all_paths():
+    """The path through a lattice with long arcs against every choice of gaps."""
+    from itertools import combinations
+
+    rng = random.Random(4)
+    for _ in range(200):
+        places = sorted(rng.sample(range(1, 60), rng.randint(0, 7)))
+        gaps = [(p, p, rng.uniform(-7, 3)) for p in places]
+
+        def worth(chosen):
+            edges = [0, *(g[1] for g in chosen), 60]
+            return sum(g[2] for g in chosen) - sum(sentences.LENGTH_COST * max(0, b - a - 15) for a, b in zip(edges, edges[1:], strict=False))
+
+        best = max(worth(c) for n in range(len(gaps) + 1) for c in combinations(gaps, n))
+        assert abs(worth(sentences._best_path(gaps, 0, 60, 15)) - best) < 1e-9
+
+
+def test_word_lattice_takes_the_fewest_strange_characters():
+    def words(run):
+        return [run[a:b] for a, b in sentences.lattice_words(run)]
+
+    assert words("他来了然而天黑了") == ["了", "然而", "了"] and words("本研究では") == ["本研究", "で", "は"] and words("abc") == []
+
+
+def test_unmarked_text(spark):
+    """Chinese, Japanese and Thai sentences run together without a mark, cut by words counted in other texts."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/library_docs.parquet").select("id", "content", "lang").distinct()
+    fitted = sentences.fit_words(docs.where("id % 2 = 0"), "content")
+    without = sentences.fit_words(docs.where("id % 2 = 0"), "content")
+    without.final = dict.fromkeys(without.final, 0.0)
+    changed = 0
+    for lang, recall in (("zh", 0.3), ("ja", 0.4), ("th", 0.6)):
+        hit = got = want = 0
+        for r in docs.where(f"lang = '{lang}' AND id % 2 = 1 AND content IS NOT NULL").collect():
+            parts = [re.sub(r"[^\w]+$", "", lookalike.INVISIBLE.sub("", x)) for x in cut(r.content)]
+            parts = [p for p in parts if len(p) > 15 and not re.search(r"[ “「!?。！？…\n]", p)]
+            text, ends = "".join(parts), set()
+            for p in parts[:-1]:
+                ends.add(max(ends, default=0) + len(p))
+            found = {a for a, _ in sentences.split(text, fitted)} - {0}
+            hit, got, want = hit + len(found & ends), got + len(found), want + len(ends)
+            changed += found != {a for a, _ in sentences.split(text, without)} - {0}
+        assert hit >= recall * want and hit >= 0.8 * got and want > 20, (lang, hit, got, want)
+    assert changed  # the particles carry some of these gaps
+    assert sentences.fit_words(docs.where("false"), "content").final == sentences.PLAIN_WORDS.final
+
+
 def test_sentence_offsets_of_a_table(spark):
     rows = [(1, "Ab bc. Cd.", "x"), (1, "Ab bc. Cd.", "x"), (2, None, "x"), (3, "", "x"), (4, LONG, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, content string, start_pos string")
