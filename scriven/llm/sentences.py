@@ -102,9 +102,11 @@ _ENDS = r"(?:\.(?![0-9a-z])|[!?。！？…])[.!?。！？…]*|\n[ \n]*"
 _GAP, _GAP_OR_BLANK = re.compile(_ENDS), re.compile(_ENDS + "| +")
 _SPACELESS = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 _THAI = re.compile("[ก-๛]")
+_IDEOGRAPHIC, _ASKING = frozenset("。！？"), frozenset("!?")
 _WORD = re.compile(r"[^\W_]")
 _TOKEN = re.compile(r"[^\s(\[{“„«\"]+$")
 _NUMBERED = re.compile(r"(\d+(\.\d+)*\.?|[A-Za-z]\.|[IVX]+\.) +(?=\S)|[一二三四五六七八九十]+、|第[一二三四五六七八九十\d]+[章节]")
+_DOTTED = re.compile(r"([^\W\d_]\.)+[^\W\d_]")
 _CODE = re.compile(r"\d|[A-Z]{2,}-?\d")
 
 
@@ -176,7 +178,8 @@ class Lattice:
     """The words of a text by their ends and starts, and what they say about a gap."""
 
     def __init__(self, s: str, words: Words):
-        self.path = lattice_words(s) if _SPACELESS.search(s) else []
+        self.spaceless = bool(_SPACELESS.search(s))
+        self.path = lattice_words(s) if self.spaceless else []
         self.words = words
         self.ends = {b: s[a:b] for a, b in self.path}
         self.starts = {a: s[a:b] for a, b in self.path}
@@ -259,20 +262,23 @@ def _terminator_odds(s: str, begin: int, end: int, close: int, next_at: int, lin
         return 20
     run, ahead = s[begin:end], s[next_at]
     parted = next_at > close
-    if set(run) & set("。！？"):
+    plain = run == "."
+    if not plain and not _IDEOGRAPHIC.isdisjoint(run):
         return 8 + lattice.odds(begin, next_at) / 2 if ahead not in "，,、" else -12
     if ahead in ",;:—–-，、；：%/)]":
         return -12
     before = s[begin - 1] if begin else ""
-    cjk = bool(_SPACELESS.match(ahead) or _SPACELESS.search(s, max(0, begin - 12), begin))
-    if run[0] == "…" or "..." in run or "…" in run:
+    # most texts hold no spaceless run at all
+    cjk = (not plain or not parted) and lattice.spaceless and bool(_SPACELESS.match(ahead) or _SPACELESS.search(s, max(0, begin - 12), begin))
+    if not plain and (run[0] == "…" or "..." in run or "…" in run):
         if ahead.islower():
             return -8
         word = re.match(r"\w+", s[next_at : next_at + 20])
         if word and word.group().casefold() in ("but", "and", "or", "mais", "et", "pero", "y", "mas", "e", "aber", "und", "но", "и"):
             return -8
         return 1.5 + (((lattice.odds(begin, next_at) + lattice.opening(next_at)) / 2 if ahead != "—" else -6) if cjk else 1)
-    if cjk and (set(run) & set("!?")) and (not parted or _SPACELESS.match(before)) and not ahead.islower():
+    asks = not plain and not _ASKING.isdisjoint(run)
+    if cjk and asks and (not parted or _SPACELESS.match(before)) and not ahead.islower():
         return 6 + lattice.odds(begin, next_at) / 2
     case = _case(s, next_at)
     if not parted and close == end:
@@ -281,15 +287,17 @@ def _terminator_odds(s: str, begin: int, end: int, close: int, next_at: int, lin
             return 3
         if case != "upper" or not (s[next_at + 1 : next_at + 2].islower() or ahead in "“„«¿¡") or not re.search(r"\d|\w{3}", s[max(0, begin - 3) : begin]):
             return -12
-    odds = 3.0 if set(run) & set("!?") else 1.0
+    odds = 3.0 if asks else 1.0
     odds += {"lower": -9, "upper": 3, "caps": 2, "digit": 2}.get(case, 2 if _SPACELESS.match(ahead) else 1)
-    if run != "." or close > end:
+    if not plain or close > end:
         return odds
     token = _TOKEN.search(s, max(line_start, begin - 24), begin)
-    token = token.group().casefold().translate(_ONE_TO_ONE) if token else ""
+    token = token.group().casefold() if token else ""
+    if not token.isascii():
+        token = token.translate(_ONE_TO_ONE)
     if not token:
         return odds
-    if _NUMBERED.fullmatch(s[line_start : begin + 2].lstrip()[: begin + 2 - line_start]) and s[line_start:begin].strip() == s[line_start : begin].strip().split(" ")[0]:
+    if begin - line_start < 24 and _NUMBERED.fullmatch(s[line_start : begin + 2].lstrip()[: begin + 2 - line_start]) and s[line_start:begin].strip() == s[line_start : begin].strip().split(" ")[0]:
         return -12  # the number of a heading or list item
     if token in MAY_END:
         odds -= 1
@@ -297,7 +305,7 @@ def _terminator_odds(s: str, begin: int, end: int, close: int, next_at: int, lin
         odds -= 9
     elif len(token) == 1 and token.isalpha() and not _SPACELESS.match(token):
         odds -= 5  # an initial, or a letter of a dotted abbreviation
-    elif re.fullmatch(r"([^\W\d_]\.)+[^\W\d_]", token):
+    elif _DOTTED.fullmatch(token):
         odds -= 5
     elif token.isdigit() and len(token) <= 2:
         word = re.match(r"\w+", s[next_at : next_at + 12])
