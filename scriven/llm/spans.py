@@ -33,10 +33,8 @@ from ..session import stored
 
 #: Least length of an exact span, and the length of a seed; a span of LEAST covers LEAST - SEED + 1 seeds.
 LEAST, SEED = 160, 80
-#: Representatives per class are spread over so many buckets of records.
-BUCKETS = 16
-#: Matches of one pair beyond which each window, and each seed outside a shared window, is compared with one partner place instead of all.
-MATCHES = 20_000
+#: Members that a representative of a class stands for, on average: classes have as many representatives as that needs.
+MEMBERS = 32
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.uint64(2**64 - 1)
 
@@ -110,34 +108,67 @@ class Windows:
         self.seed_owner = text_of[self.places]
 
 
-def shared_runs(a: str, b: str, least: int = LEAST, seed: int = SEED) -> list[tuple[int, int, int]]:
-    """Maximal exact runs (start in a, start in b, length) around the seeds that both texts picked."""
-    w = Windows([a, b], least, seed)
-    if not len(w.places):
-        return []
-    split = np.searchsorted(w.places, len(a))
-    left, right = w.seeds[:split], w.seeds[split:]
-    order = np.argsort(right, kind="stable")
-    right, right_at = right[order], w.places[split:][order] - len(a)
-    low, high = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
-    if int((high - low).sum()) > MATCHES:
-        runs = _runs_by_window(a, b, least)
-        return sorted({*runs, *_runs_by_seed(a, b, w, runs, seed)})
-    runs: list[tuple[int, int, int]] = []
-    reached: dict[int, int] = {}
-    for p, x, y in zip(w.places[:split].tolist(), low.tolist(), high.tolist(), strict=True):
-        for k in range(x, y):
-            q = int(right_at[k])
-            if p < reached.get(p - q, -1) or a[p : p + seed] != b[q : q + seed]:
-                continue
-            # grow by halving steps, comparing whole slices
-            size = seed + _common(a, b, p + seed, q + seed, 1)
-            back = _common(a, b, p, q, -1)
-            runs.append((p - back, q - back, size + back))
-            reached[p - q] = p + size
+def shared_runs(a: str, b: str, least: int = LEAST, seed: int = SEED, short: bool = True) -> list[tuple[int, int, int]]:
+    """Maximal exact runs (start in a, start in b, length): every stretch of either text that the other holds, with one place there.
+
+    Whole windows of ``least`` characters are looked up first; with ``short``, then the
+    picked seeds that no run covers. Of several places the one is taken whose
+    diagonal is nearest to that of the run before, or the first if it reaches further. So runs and work are
+    linear in the texts however often they repeat themselves.
+    """
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    x, y = Hashes(x).of(least, 3), Hashes(y).of(least, 3)
+    runs: set[tuple[int, int, int]] = set()
+    _one_side(a, b, np.arange(len(x)), x, np.arange(len(y)), y, least, runs, False)
+    _one_side(b, a, np.arange(len(y)), y, np.arange(len(x)), x, least, runs, True)
+    if short:
+        w = Windows([a, b], least, seed)
+        if len(w.places):
+            cut = np.searchsorted(w.places, len(a))
+            p, q = w.places[:cut], w.places[cut:] - len(a)
+            _one_side(a, b, p, w.seeds[:cut], q, w.seeds[cut:], seed, runs, False)
+            _one_side(b, a, q, w.seeds[cut:], p, w.seeds[:cut], seed, runs, True)
     return sorted(runs)
 
 
+def _one_side(s: str, t: str, p: np.ndarray, hp: np.ndarray, q: np.ndarray, hq: np.ndarray, size: int, runs: set[tuple[int, int, int]], turned: bool) -> None:
+    """Adds a run for each stretch of ``size`` characters of s, at places p with hashes hp, that t holds at a place of q and no run of s covers."""
+    if not len(p) or not len(q):
+        return
+    order = np.argsort(hq, kind="stable")
+    sorted_q, places = hq[order], q[order]
+    low = np.searchsorted(sorted_q, hp)
+    met = np.flatnonzero(sorted_q[np.minimum(low, len(sorted_q) - 1)] == hp)
+    if not len(met):
+        return
+    high = np.searchsorted(sorted_q, hp[met], "right")
+    covers = sorted((j, j + n) if turned else (i, i + n) for i, j, n in runs)
+    at, covered, diagonal, k = 0, -1, 0, 0
+    place = p[met]
+    while k < len(met):
+        here = int(place[k])
+        while at < len(covers) and covers[at][0] <= here:
+            covered = max(covered, covers[at][1])
+            at += 1
+        if here + size <= covered:
+            k = max(k + 1, int(np.searchsorted(place, covered - size + 1)))
+            continue
+        some = places[low[met[k]] : high[k]]
+        near = int(np.searchsorted(some, here + diagonal))
+        near = min((n for n in (near - 1, near) if 0 <= n < len(some)), key=lambda n: abs(int(some[n]) - here - diagonal))
+        # the first place, which has most of the other text behind it, where it reaches further
+        best = (0, 0)
+        for there in dict.fromkeys((int(some[near]), int(some[0]))):
+            if s[here : here + size] == t[there : there + size]:
+                best = max(best, (size + _common(s, t, here + size, there + size, 1), there if there == int(some[near]) else -1 - there))
+        if best[0]:
+            n, there = best[0], best[1] if best[1] >= 0 else -1 - best[1]
+            back = _common(s, t, here, there, -1)
+            runs.add((there - back, here - back, back + n) if turned else (here - back, there - back, back + n))
+            covered, diagonal = max(covered, here + n), there - here
+        k += 1
+
+
 def _common(a: str, b: str, p: int, q: int, way: int) -> int:
     """Length of the common stretch of a from p and b from q, forwards (way 1) or backwards (-1)."""
     most = min(len(a) - p, len(b) - q) if way > 0 else min(p, q)
@@ -156,54 +187,6 @@ def _common(a: str, b: str, p: int, q: int, way: int) -> int:
     return got
 
 
-def _runs_by_window(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
-    """Runs by the windows themselves, for texts that repeat within: one partner place for each run in a, and in b."""
-    x = Hashes(np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)).of(least, 3).tolist()
-    y = Hashes(np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)).of(least, 3).tolist()
-
-    def one_side(p_all: list[int], q_all: list[int], s: str, t: str) -> list[tuple[int, int, int]]:
-        place = {h: q for q, h in zip(range(len(q_all) - 1, -1, -1), reversed(q_all), strict=True)}
-        found, p = [], 0
-        while p < len(p_all):
-            q = place.get(p_all[p])
-            if q is None or s[p : p + least] != t[q : q + least]:
-                p += 1
-                continue
-            size = least + _common(s, t, p + least, q + least, 1)
-            found.append((p, q, size))
-            p += size - least + 1
-        return found
-
-    runs = one_side(x, y, a, b) + [(p, q, n) for q, p, n in one_side(y, x, b, a)]
-    return sorted(set(runs))
-
-
-def _runs_by_seed(a: str, b: str, w: Windows, runs: list[tuple[int, int, int]], seed: int) -> set[tuple[int, int, int]]:
-    """Runs around the seeds that lie in none of ``runs``, with one partner place for each seed of a, and of b.
-
-    Such a seed shares no whole window, so its run is short and the work linear in the seeds.
-    """
-    split = np.searchsorted(w.places, len(a))
-    x = list(zip(w.seeds[:split].tolist(), w.places[:split].tolist(), strict=True))
-    y = list(zip(w.seeds[split:].tolist(), (w.places[split:] - len(a)).tolist(), strict=True))
-
-    def one_side(mine: list[tuple[int, int]], other: list[tuple[int, int]], held: list[tuple[int, int]], s: str, t: str) -> Iterator[tuple[int, int, int]]:
-        place = dict(reversed(other))
-        at, covered = 0, 0
-        for h, p in mine:
-            while at < len(held) and held[at][0] <= p:
-                covered = max(covered, held[at][1])
-                at += 1
-            q = place.get(h)
-            if q is None or p + seed <= covered or s[p : p + seed] != t[q : q + seed]:
-                continue
-            back = _common(s, t, p, q, -1)
-            yield p - back, q - back, back + seed + _common(s, t, p + seed, q + seed, 1)
-
-    found = set(one_side(x, y, sorted((i, i + n) for i, _, n in runs), a, b))
-    return found | {(p, q, n) for q, p, n in one_side(y, x, sorted((j, j + n) for _, j, n in runs), b, a)}
-
-
 def chains(runs: list[tuple[int, int, int]], gap_cost: float = 0.5) -> list[list[tuple[int, int, int]]]:
     """Collinear chains of runs, best first; every run is in one chain.
 
@@ -246,9 +229,11 @@ def chains(runs: list[tuple[int, int, int]], gap_cost: float = 0.5) -> list[list
     return out
 
 
-def _gap_matches(a: str, b: str, most: int = 400) -> int:
-    """Characters aligned as equal in the gap of a chain (longest common subsequence); gaps beyond ``most`` count as different."""
-    if not a or not b or len(a) > most or len(b) > most:
+def _gap_matches(a: str, b: str) -> int:
+    """Characters aligned as equal in the gap of a chain: its longest common subsequence."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
         return 0
     # bit-parallel: one integer holds a row of the alignment table
     mask: dict[str, int] = {}
@@ -262,13 +247,13 @@ def _gap_matches(a: str, b: str, most: int = 400) -> int:
     return len(a) - row.bit_count()
 
 
-def passages(a: str, b: str) -> list[tuple[int, int, int, int, float, list[tuple[int, int, int]]]]:
-    """(start_a, end_a, start_b, end_b, identity, runs) of each chain of two texts."""
+def passages(a: str, b: str, fuzzy: bool = True) -> list[tuple[int, int, int, int, float, list[tuple[int, int, int]]]]:
+    """(start_a, end_a, start_b, end_b, identity, runs) of each chain of two texts; without ``fuzzy``, of runs of ``LEAST`` characters, gaps not aligned."""
     out = []
-    for chain in chains(shared_runs(a, b)):
+    for chain in chains(shared_runs(a, b, short=fuzzy)):
         same = sum(n for _, _, n in chain)
         for (i, j, n), (k, m, _) in zip(chain, chain[1:], strict=False):
-            same += _gap_matches(a[i + n : k], b[j + n : m])
+            same += _gap_matches(a[i + n : k], b[j + n : m]) if fuzzy else 0
         i, j, _ = chain[0]
         k, m, n = chain[-1]
         out.append((i, k + n, j, m + n, same / max(k + n - i, m + n - j), chain))
@@ -357,14 +342,16 @@ def record_pairs(texts: DataFrame, fuzzy: bool = False) -> DataFrame:
     windows = stored(texts.join(held, "no").select("no", "seeds", "text").mapInArrow(_window_rows, "window bigint, no bigint"))
     if fuzzy:
         windows = windows.unionByName(wanted.select(F.col("seed").alias("window"), "no"))
-    # most windows stand once: they leave before anything else is made of them
-    several = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    bucket = F.pmod(F.xxhash64("no"), F.lit(BUCKETS)).cast("int")
-    members = stored(windows.join(several, "window").withColumn("bucket", bucket))
+    # most windows stand once: they leave before anything else is made of them. A hot window is one row here, and the join with it, which
+    # goes to storage, is one whose skewed partitions the adaptive planner splits
+    several = windows.groupBy("window").agg(F.count("*").alias("n"), F.min("no").alias("low"), F.max("no").alias("high")).where("low <> high")
+    bucket = F.pmod(F.xxhash64("no"), F.ceil(F.col("n") / MEMBERS)).alias("bucket")
+    members = stored(windows.join(several, "window").select("window", "no", "low", "high", bucket))
     heads = members.groupBy("window", "bucket").agg(F.min("no").alias("near"), F.max("no").alias("far"))
-    whole = heads.groupBy("window").agg(F.min("near").alias("low"), F.max("far").alias("high")).where("low <> high")
-    joined = members.join(heads.select("window", "bucket", "near"), ["window", "bucket"]).join(whole, "window")
-    partner = F.when(F.col("near") != F.col("no"), F.col("near")).when(F.col("low") != F.col("no"), F.col("low")).otherwise(F.col("high"))
+    joined = members.join(heads, ["window", "bucket"])
+    # one that is alone in its bucket, which is rare beyond two buckets, is paired with an end of the class
+    near, far, low = (F.when(F.col(c) != F.col("no"), F.col(c)) for c in ("near", "far", "low"))
+    partner = F.coalesce(near, far, low, F.col("high"))
     many = joined.select(F.col("no").alias("x"), partner.alias("y"))
     return few.unionByName(many).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -384,15 +371,15 @@ def shared_members(records: DataFrame) -> DataFrame:
     """
     rows = records.select("tab", "rec_id", "text").where(F.length("text") >= LEAST).withColumn("no", F.xxhash64("tab", "rec_id"))
     texts = rows.select("no", "text")
-    # one shuffle serves both the classes and the join with them; places stream past the one row of their class
-    seeds = texts.mapInArrow(partial(_seed_rows, placed=True), "seed bigint, no bigint, place int").repartition("seed")
+    # a class is one row after partial aggregation; the joins with classes go to storage or another shuffle, so the adaptive planner may split hot ones
+    seeds = texts.mapInArrow(partial(_seed_rows, placed=True), "seed bigint, no bigint, place int")
     counted = seeds.groupBy("seed").agg(F.count("*").alias("n"), F.min("no").alias("low"), F.max("no").alias("high"))
     wanted = stored(seeds.join(counted.where("n > 3 AND low <> high").select("seed"), "seed", "left_semi"))
     # the seeds of one record: bounded by its length
     held = wanted.groupBy("no").agg(F.collect_set("seed").alias("seeds"))
     windows = texts.join(held, "no").select("no", "seeds", "text").mapInArrow(partial(_window_rows, placed=True), "window bigint, no bigint, place int")
     placed = windows.withColumn("length", F.lit(LEAST)).unionByName(wanted.withColumnRenamed("seed", "window").withColumn("length", F.lit(SEED)))
-    members = placed.repartition("length", "window")
+    members = stored(placed)
     heads = members.groupBy("length", "window").agg(F.min(F.struct("no", "place")).alias("head"), F.max("no").alias("far"))
     joined = members.join(heads.where("head.no <> far"), ["length", "window"])
     joined = joined.select("length", "no", "place", F.col("head.no").alias("head"), (F.col("place") - F.col("head.place")).alias("off"))
@@ -426,7 +413,7 @@ _OUT = (
 )
 
 
-def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passage_rows(batches: Iterator[pa.RecordBatch], fuzzy: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
         [("tab", pa.string()), ("rec_id", pa.string()), ("other_tab", pa.string()), ("other_id", pa.string())]
         + [(c, pa.int32()) for c in ("start_pos", "end_pos", "other_start", "other_end")]
@@ -436,7 +423,7 @@ def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            for i, k, j, m, identity, runs in passages(r["text_a"], r["text_b"]):
+            for i, k, j, m, identity, runs in passages(r["text_a"], r["text_b"], fuzzy):
                 longest = max(n for _, _, n in runs)
                 a, b = (r["tab_a"], r["id_a"]), (r["tab_b"], r["id_b"])
                 for me, it, x, y, u, v, side in ((a, b, i, k, j, m, 0), (b, a, j, m, i, k, 1)):
@@ -465,13 +452,18 @@ def shared_passages(records: DataFrame, fuzzy: bool = True) -> DataFrame:
     window, and with ``fuzzy`` of a shared seed, has one. ``shared_members``
     has the other links.
     """
-    # read again where it is needed, which moves less than a table of distinct texts; repeated rows only repeat what they find
+    # read again where it is needed, which moves less than a table of distinct texts
     rows = records.select("tab", "rec_id", "text").where(F.length("text") >= LEAST)
     texts = rows.select(F.xxhash64("tab", "rec_id").alias("no"), "tab", "rec_id", "text")
     pairs = record_pairs(texts.select("no", "text"), fuzzy)
-    left = texts.select(F.col("no").alias("a"), F.col("tab").alias("tab_a"), F.col("rec_id").alias("id_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("no").alias("b"), F.col("tab").alias("tab_b"), F.col("rec_id").alias("id_b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").drop("a", "b").mapInArrow(_passage_rows, _OUT)
+
+    def side(x: str) -> DataFrame:
+        # repeated rows are one before texts are compared, in the shuffle that the join needs anyway
+        one = texts.groupBy("no").agg(*[F.min(c).alias(c) for c in ("tab", "rec_id", "text")])
+        return one.select(F.col("no").alias(x), F.col("tab").alias(f"tab_{x}"), F.col("rec_id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
+    return both.mapInArrow(partial(_passage_rows, fuzzy=fuzzy), _OUT)
 
 
 def shared_records(found: DataFrame) -> DataFrame:

@@ -21,27 +21,54 @@ def test_shared_runs_find_every_span():
         assert longest == size if size >= spans.LEAST else longest in (0, size)
 
 
-def test_repetitive_texts_take_the_window_path():
-    a, b = "ab" * 2000, "xx" + "ab" * 1500
-    runs = spans.shared_runs(a, b)
-    assert max(n for _, _, n in runs) == 3000
+def covered(text, other, least):
+    """Places of ``text`` in a stretch of ``least`` characters that ``other`` holds."""
+    held = {other[k : k + least] for k in range(len(other) - least + 1)}
+    return {i for k in range(len(text) - least + 1) if text[k : k + least] in held for i in range(k, k + least)}
+
+
+def test_runs_of_repetitive_texts_equal_brute_force():
+    """Texts that repeat themselves are treated as all others: both sides' shared stretches are covered, with linearly many runs."""
+    rng = random.Random(8)
+    for _ in range(12):
+        cores = [random_text(rng, n) for n in (130, 170, 300)]
+        a, b = ("".join(rng.choice([*cores, "ab" * rng.randint(1, 200), random_text(rng, 40)]) for _ in range(30)) for _ in range(2))
+        runs = spans.shared_runs(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in runs) and len(runs) < (len(a) + len(b)) / 8
+        # runs are maximal
+        assert all((i == 0 or j == 0 or a[i - 1] != b[j - 1]) and a[i + n : i + n + 1] != (b[j + n : j + n + 1] or "-") for i, j, n in runs)
+        for side, (x, y) in enumerate(((a, b), (b, a))):
+            assert {k for r in runs if r[2] >= 160 for k in range(r[side], r[side] + r[2])} == covered(x, y, 160)
+    runs = spans.shared_runs("ab" * 20_000, "xx" + "ab" * 15_000)
+    assert max(n for _, _, n in runs) == 30_000 and len(runs) < 20
     assert spans.shared_runs("a" * 100, "a" * 100) == []
 
 
-def test_the_window_path_keeps_short_runs():
+def test_picked_seeds_of_short_runs_are_covered():
     rng = random.Random(8)
     a, b = "ab" * 2000, "xx" + "ab" * 1500
     for _ in range(20):
         core = random_text(rng, 130)
         a, b = a + random_text(rng, 200) + core, b + random_text(rng, 200) + core
     runs = spans.shared_runs(a, b)
-    assert all(a[i : i + n] == b[j : j + n] for i, j, n in runs) and max(n for _, _, n in runs) == 3000
     seeds = [spans.Windows([t]) for t in (a, b)]
     shared = set(seeds[0].seeds.tolist()) & set(seeds[1].seeds.tolist())
     for side, w in enumerate(seeds):
         for h, p in zip(w.seeds.tolist(), w.places.tolist(), strict=True):
             assert h not in shared or any(r[side] <= p and p + 80 <= r[side] + r[2] for r in runs)
     assert sum(n < 160 for _, _, n in runs) > 5
+    assert spans._gap_matches("x" * 3000 + "abc", "abc" + "y" * 900) == 3
+
+
+def test_no_record_stands_for_a_whole_hot_class(spark):
+    """One window in 40 000 records: every record has a partner, and none has more than a set number of them."""
+    from collections import Counter
+
+    core = random_text(random.Random(9), 170)
+    texts = spark.range(40_000).selectExpr("xxhash64(id) AS no", f"concat('{core}', '#', id) AS text")
+    pairs = spans.record_pairs(texts.unionByName(texts.limit(50))).collect()
+    partners = Counter(x for p in pairs for x in (p.a, p.b))
+    assert len(partners) == 40_000 and max(partners.values()) <= 8 * spans.MEMBERS
 
 
 def test_chains_are_collinear_and_complete():
