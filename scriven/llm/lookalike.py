@@ -2,24 +2,28 @@
 
 Each string is mapped character by character: compatibility decomposition,
 look-alike letters to their Latin twins, every kind of blank to a plain one,
-invisible characters away, composition last. The mapped strings are then
-grouped in SQL under the accent- and case-sensitive Unicode collation; the
-member with the smallest key stands for its class and is joined back.
+invisible characters away, composition last. The look-alikes are those of the
+Unicode skeleton table that comes with Spark's collation library, read once by
+the driver. The mapped strings are then grouped in SQL under the accent- and
+case-sensitive Unicode collation; the member with the smallest key stands for
+its class and is joined back. Equal strings meet by their digests, so only
+those of equal letters and digits that still differ are collated.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
 
-# fixed values: letters of other scripts that print like Latin ones (after Unicode TR39)
+# fixed values: common letters of other scripts that print like Latin ones (after Unicode TR39); where there is a session, ``skeleton_table`` has all
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y",
     "І": "I", "Ј": "J", "Ѕ": "S", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j",
@@ -38,26 +42,80 @@ _LINE = re.compile(r"\r\n|[\r\x85\u2028\u2029]")
 _DIRTY_ASCII = re.compile(r"[\x00-\x08\t\x0b-\x1f\x7f]")
 
 
-def same_form(text: str | None) -> str | None:
-    """The one form of ``text``; null stays null, empty stays empty."""
+def skeleton_table(spark: SparkSession) -> dict[int, str]:
+    """Letters beyond ASCII (code points) that the skeleton table maps to the look of an ASCII letter of the same case.
+
+    One call to the library on the driver; a session without it has ``LOOK_ALIKES``.
+    """
+    table = {ord(a): b for a, b in LOOK_ALIKES.items()}
+    try:
+        skeleton = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton
+        letters = [c for c in map(chr, range(0x80, 0x1F000)) if unicodedata.category(c) in ("Lu", "Ll") and unicodedata.normalize("NFKD", c) == c]
+        looks = skeleton("\x01".join([*string.ascii_letters, *letters])).split("\x01")
+    except Exception:  # no Java session, or another library: what it throws is py4j's
+        return table
+    latin: dict[tuple[str, str], str] = {}
+    for c, look in zip([*string.ascii_letters, *letters], looks, strict=True):
+        if c.isascii():
+            latin.setdefault((look, unicodedata.category(c)), c)
+        elif (look, unicodedata.category(c)) in latin:
+            table.setdefault(ord(c), latin[look, unicodedata.category(c)])
+    return table
+
+
+def same_form(text: str | None, table: dict[int, str] | None = None) -> str | None:
+    """The one form of ``text``, by ``LOOK_ALIKES`` and further letters of ``table``; null stays null, empty stays empty."""
     if not text or text.isascii() and not _DIRTY_ASCII.search(text):
         return text
     text = INVISIBLE.sub("", text)
     text = _BLANK.sub(" ", _LINE.sub("\n", text))
     text = unicodedata.normalize("NFKD", text)
+    if table is not None:
+        text = text.translate(table)
     if _HAS_ALIKE.search(text):
         text = text.translate(_ALIKE)
     return unicodedata.normalize("NFC", text)
 
 
-def _same_form(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(same_form, na_action="ignore")
-
-
 def with_form(df: DataFrame, text: str, form: str = "form") -> DataFrame:
     """``df`` with the one form of column ``text`` added as ``form`` (an Arrow map, no shuffle)."""
-    return df.withColumn(form, F.pandas_udf(_same_form, "string")(F.col(text)))
+    table = skeleton_table(df.sparkSession)
+
+    def forms(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: same_form(t, table), na_action="ignore")
+
+    return df.withColumn(form, F.pandas_udf(forms, "string")(F.col(text)))
+
+
+def _mapped(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, stored, form_md5, letters_md5, form) of every row with a text: written once, read where it is needed."""
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    # characters that are neither letter nor digit are all that the collation passes over
+    letters = F.md5(F.regexp_replace("form", r"[^\p{L}\p{N}]+", ""))
+    return stored(with_form(rows, "text").select("key", F.md5("text").alias("stored"), F.md5("form").alias("form_md5"), letters.alias("letters_md5"), "form"))
+
+
+def _class_keys(rows: DataFrame) -> DataFrame:
+    """(form_md5, class_key, class_md5): the class of each form of ``rows`` and the form of its smallest key."""
+    forms = rows.groupBy("form_md5", "letters_md5").agg(F.min("key").alias("first_key"))
+    alike = forms.groupBy("letters_md5").agg(F.min("form_md5").alias("low"), F.max("form_md5").alias("high")).where("low <> high")
+    differ = stored(forms.join(alike.select("letters_md5"), "letters_md5", "left_semi"))
+    texts = rows.join(differ.select("form_md5"), "form_md5", "left_semi").groupBy("form_md5").agg(F.min("form").alias("form"))
+    texts = stored(differ.join(texts, "form_md5"))
+    spark = rows.sparkSession
+    classes = spark.sql(
+        """SELECT collate(form, 'UNICODE') AS look, min_by(form_md5, first_key) AS class_md5, min(first_key) AS class_key
+           FROM {texts} GROUP BY collate(form, 'UNICODE')""",
+        texts=texts,
+    )
+    named = spark.sql(
+        "SELECT t.form_md5, c.class_key, c.class_md5 FROM {texts} t JOIN {classes} c ON collate(t.form, 'UNICODE') = c.look",
+        texts=texts,
+        classes=classes,
+    )
+    alone = forms.join(alike.select("letters_md5"), "letters_md5", "left_anti")
+    return alone.select("form_md5", F.col("first_key").alias("class_key"), F.col("form_md5").alias("class_md5")).unionByName(named)
 
 
 def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -65,28 +123,16 @@ def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
     ``stored`` is a digest of the text as stored, ``class_key`` the smallest
     key of the class, ``form`` that member's mapped text. Null texts give no
-    row; repeated rows give one; an empty table gives an empty result. Exact
-    copies collapse before text is shuffled, and the class of a hot group is
-    a partial minimum, so no group is ever gathered in one task.
+    row; repeated rows give one; an empty table gives an empty result. Classes
+    are told by digests, so texts are moved only where they are collated and
+    for the result, and the class of a hot group is a partial minimum: no
+    group is ever gathered in one task.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    rows = with_form(rows, "text").select("key", F.md5("text").alias("stored"), F.md5("form").alias("form_md5"), "form")
-    # mapped once: the forms with their members' keys are read for the classes and again for the members
-    rows = stored(rows)
+    rows = _mapped(df, key, text)
+    named = _class_keys(rows)
+    forms = rows.groupBy(F.col("form_md5").alias("class_md5")).agg(F.min("form").alias("form"))
     members = rows.select("key", "stored", "form_md5").distinct()
-    forms = stored(rows.groupBy("form_md5", "form").agg(F.min("key").alias("first_key")))
-    classes = forms.sparkSession.sql(
-        """SELECT collate(form, 'UNICODE') AS look, min_by(form, first_key) AS class_form, min(first_key) AS class_key
-           FROM {forms} GROUP BY collate(form, 'UNICODE')""",
-        forms=forms,
-    )
-    named = forms.sparkSession.sql(
-        """SELECT f.form_md5, c.class_key, c.class_form AS form
-           FROM {forms} f JOIN {classes} c ON collate(f.form, 'UNICODE') = c.look""",
-        forms=forms,
-        classes=classes,
-    )
-    return members.join(named, "form_md5").select("key", "stored", "class_key", "form")
+    return members.join(named, "form_md5").join(forms, "class_md5").select("key", "stored", "class_key", "form")
 
 
 def look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -97,7 +143,9 @@ def look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     that store the same string are never compared.
     """
     marked = df.where(F.col(text).rlike(r"[^\s\u0085\u00a0\u1680\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]"))
-    members = stored(look_classes(marked, key, text).select("key", "stored", "class_key"))
+    rows = _mapped(marked, key, text)
+    members = rows.select("key", "stored", "form_md5").distinct().join(_class_keys(rows), "form_md5")
+    members = stored(members.select("key", "stored", "class_key"))
     variants = members.select("class_key", "stored").distinct()
     mixed = variants.groupBy("class_key").agg(F.min("stored").alias("least"), F.max("stored").alias("most"))
     mixed = mixed.where("least <> most").select("class_key")
