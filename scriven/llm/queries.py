@@ -105,7 +105,9 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # documents of sources without a target are not encoded; the list of targets is a fixed table
+    targets = table(spark, sf_dir, "mix_targets").select("source").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(F.broadcast(targets), "source", "left_semi")
     sizes = tokens.encode_column(spread(docs.select(F.struct("doc_id", "source").alias("at"), "text")), "at", "text", lengths_only=True)
     return stored(sizes.select("at.doc_id", "at.source", "n_tokens"))
 
@@ -153,8 +155,19 @@ marked AS (SELECT term, occurrences, records, CASE WHEN records <= 2 THEN 'rare'
 """
 
 
+_NGRAMS = """
+WITH docs AS (SELECT DISTINCT id, content FROM library_docs WHERE content IS NOT NULL),
+lists AS (SELECT id, list_transform(regexp_extract_all(content, '[A-Za-z0-9]+|[一-鿿]'), lambda t: lower(t)) AS w FROM docs),
+sizes AS (SELECT unnest([1, 2, 3]) AS n),
+placed AS (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM lists, sizes WHERE len(w) >= n),
+grams AS (SELECT id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS term FROM placed)
+SELECT term, n::INTEGER AS n, count(*)::BIGINT AS occurrences, count(DISTINCT id)::BIGINT AS records FROM grams GROUP BY term, n HAVING count(*) > 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p2_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
+        "p2_ngrams": _NGRAMS,
     }

@@ -25,23 +25,35 @@ TERM = re.compile("[A-Za-z0-9]+|[一-鿿]")
 BLOCK_TERMS = 1_500_000
 
 
-def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order of their first ``depth`` ids, rank of each suffix by those ids).
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """The suffixes of ``ids`` in order.
 
     Negative ids are ends of records: they are all different, so no common
-    prefix runs over them.
+    prefix runs over them. Prefix doubling; a suffix leaves when it is alone
+    with its rank, so copied stretches alone take more rounds.
     """
     n = len(ids)
-    rank = np.where(ids < 0, -1 - np.arange(n), ids)
-    _, rank = np.unique(rank, return_inverse=True)
+    _, rank = np.unique(np.where(ids < 0, -1 - np.arange(n), ids), return_inverse=True)
+    # a rank is the number of suffixes that are smaller
+    rank = (np.cumsum(np.bincount(rank)) - np.bincount(rank))[rank].astype(np.int64)
     reach = 1
-    while reach < depth:
-        step = min(reach, depth - reach)
-        behind = np.full(n, 0, np.int64)
-        behind[: n - step] = rank[step:] + 1
-        _, rank = np.unique(rank.astype(np.int64) * (n + 1) + behind, return_inverse=True)
-        reach += step
-    return np.argsort(rank, kind="stable"), rank
+    open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+    while len(open_):
+        behind = np.where(open_ + reach < n, rank[np.minimum(open_ + reach, n - 1)] + 1, 0)
+        order = np.lexsort((behind, rank[open_]))
+        at, group, behind = open_[order], rank[open_][order], behind[order]
+        place = np.arange(len(at))
+        new_group = np.concatenate([[True], group[1:] != group[:-1]])
+        new = new_group | np.concatenate([[True], behind[1:] != behind[:-1]])
+        first_of_group = np.maximum.accumulate(np.where(new_group, place, 0))
+        first_equal = np.maximum.accumulate(np.where(new, place, 0))
+        rank[at] = group + first_equal - first_of_group
+        alone = new & np.concatenate([new[1:], [True]])
+        open_ = np.sort(at[~alone])
+        reach *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 def prefix_lengths(ids: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -70,13 +82,12 @@ def count_block(texts: list[str], max_n: int) -> Iterator[tuple[np.ndarray, int,
     keep = np.ones(len(ids), bool)
     keep[np.cumsum(size + 1) - 1] = False
     ids[keep] = code
-    depth = max(2, max_n)
-    order, rank = suffix_array(ids, depth)
+    order = suffix_array(ids)
     order = order[ids[order] >= 0]
-    common = prefix_lengths(ids, order, depth)
+    common = prefix_lengths(ids, order, max_n)
     # the suffixes of each record in their own order: a stable sort of the array by record keeps it
     own = order[np.argsort(record[order], kind="stable")]
-    twice = prefix_lengths(ids, own, depth)
+    twice = prefix_lengths(ids, own, max_n)
     twice[np.flatnonzero(np.diff(record[own], prepend=-1))] = 0
     repeats = np.zeros(len(ids), np.int64)
     repeats[own] = twice

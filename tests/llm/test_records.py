@@ -213,6 +213,27 @@ def test_mixture_meets_the_target_of_a_tiny_source(spark):
     assert more["big"].tokens > 5 * got["big"].tokens and more["tiny"].actual_share < 0.01
 
 
+def test_nearest_sum():
+    import itertools
+
+    rng = random.Random(13)
+    for _ in range(100):
+        sizes, wanted = [rng.randint(1, 40) for _ in range(rng.randint(0, 8))], rng.randint(0, 120)
+        best = min((abs(sum(c) - wanted) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n)), default=wanted)
+        found = mixture.nearest_sum(sizes, wanted)
+        assert len(set(found)) == len(found) and abs(sum(sizes[k] for k in found) - wanted) == best
+
+
+def test_shares_are_within_two_percent_of_feasible_targets(spark):
+    """Long documents at the edge of a source's demand are passed over for ones that fit."""
+    rng = random.Random(12)
+    rows = [(k, s, rng.choice([3, 40, 90, 250, 4000 if s == "long" else 300])) for s in ("long", "plain", "wide") for k in range(len(s) * 100, len(s) * 100 + 60)]
+    docs = spark.createDataFrame([(i * 10 + len(s), s, n, "x") for i, s, n in rows], "doc_id bigint, source string, n_tokens bigint, copy string")
+    targets = spark.createDataFrame([("long", 0.1, 2), ("plain", 0.6, 3), ("wide", 0.2, 3), ("none", 0.1, 1)], "source string, target_share double, max_repeats int")
+    for r in mixture.shares(mixture.mix(docs, targets), docs, targets).collect():
+        assert r.source == "none" or abs(r.actual_share / (r.target_share / 0.9) - 1) < 0.02, r
+
+
 def test_pattern_growth_equals_counting():
     """Every pattern that is surer than its parts is grown, with the confidence that plain counting gives; closed ones only."""
     import itertools
