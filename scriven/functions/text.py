@@ -63,17 +63,12 @@ def quoted_units(text: Column, kind: Column) -> Column:
 def grams(norm: Column, kind: Column, zh: int, en: int) -> Column:
     """All runs of ``zh`` characters or ``en`` words of a normal form, or the whole if that is shorter.
 
-    The form is cut into signs once, bound by the outer lambda; a reference to
-    the cut inside the inner one would be worked out again for every run, and
-    substrings by place would be quadratic in long texts.
+    A look-ahead that matches at every place captures them in one pass of the
+    expression, as a normal form holds single characters, or words between blanks.
     """
-
-    def runs(signs: Column, n: int, glue: str) -> Column:
-        each = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - (n - 1))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), glue))
-        return F.element_at(F.transform(F.array(signs), each), 1)
-
-    # only what a normal form can hold: single characters, or words between blanks
-    return F.when(kind == "zh", runs(F.split(norm, ""), zh, "")).otherwise(runs(F.split(norm, " "), en, " "))
+    each = F.when(kind == "zh", F.regexp_extract_all(norm, F.lit(f"(?=(.{{{zh}}}))"), F.lit(1)))
+    each = each.otherwise(F.regexp_extract_all(norm, F.lit(f"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{en - 1}}}))"), F.lit(1)))
+    return F.when(F.size(each) > 0, each).otherwise(F.array(norm))
 
 
 def shingles(norm: Column, kind: Column, n: Column, least: int = K.MIN_SENT_UNITS) -> Column:

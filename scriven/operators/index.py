@@ -29,15 +29,29 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def library_sentences(sents: DataFrame) -> DataFrame:
-    """Sentences that a library keeps, numbered anew."""
-    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_pos")) - 1
-    return sents.where(F.col("units") >= K.MIN_LIBRARY_UNITS).withColumn("idx", idx)
+    """Sentences that a library keeps, numbered anew.
+
+    The filter comes after the window: below it, the planner would write the
+    whole chain of expressions behind ``units`` out into the condition.
+    """
+    keep = F.col("units") >= K.MIN_LIBRARY_UNITS
+    idx = F.sum(F.when(keep, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("start_pos")) - 1
+    return sents.withColumn("idx", idx.cast("int")).where(keep)
 
 
 def with_shingles(sents: DataFrame) -> DataFrame:
     return sents.withColumn("shingles", T.shingles(F.col("norm"), F.col("kind"), F.col("units")))
 
 
+def explode_shingles(shingled: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` and each shingle of every row.
+
+    The outer form, since for the inner one the planner infers a filter that
+    works every array out once more.
+    """
+    return shingled.select(*columns, F.explode_outer("shingles").alias("shingle")).where("shingle IS NOT NULL")
+
+
 def norm_id(kind: Column, norm: Column) -> Column:
     """Equal sentences are one class; its number is a 64-bit digest."""
     return F.xxhash64(kind, norm)
@@ -45,7 +59,7 @@ def norm_id(kind: Column, norm: Column) -> Column:
 
 def doc_frequency(shingled: DataFrame) -> DataFrame:
     """(shingle, df): documents that hold each shingle. Distinct pairs leave the map side."""
-    pairs = shingled.select("doc_id", F.explode("shingles").alias("shingle")).distinct()
+    pairs = explode_shingles(shingled, "doc_id").distinct()
     return pairs.groupBy("shingle").agg(F.count("*").alias("df"))
 
 

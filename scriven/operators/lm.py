@@ -57,12 +57,15 @@ class Model:
         bi = self.bi.withColumnRenamed("n", "n2")
         tri = self.tri.withColumnRenamed("n", "n3")
         uni = self.uni.select(F.col("g1").alias("g3"), F.col("n").alias("n1"))
-        t = t.join(tri, ["g1", "g2", "g3"], "left").join(bi, ["g1", "g2"], "left").join(uni, "g3", "left")
-        t = t.crossJoin(F.broadcast(self.size)).na.fill(0, ["n1", "n2", "n3"])  # one row
+        # each different trigram is looked up once; the tokens then meet it in one join
         k = K.ADD_K
+        d = t.select("g1", "g2", "g3").distinct()
+        d = d.join(tri, ["g1", "g2", "g3"], "left").join(bi, ["g1", "g2"], "left").join(uni, "g3", "left")
+        d = d.crossJoin(F.broadcast(self.size)).na.fill(0, ["n1", "n2", "n3"])  # one row
         p3 = F.when(F.col("n2") > 0, (F.col("n3") + k) / (F.col("n2") + k * F.col("v"))).otherwise(0.0)
         p1 = (F.col("n1") + k) / (F.col("total") + k * F.greatest("v", F.lit(1)))
-        return t.select("sid", "place", F.log(F.greatest(0.6 * p3 + 0.4 * p1, F.lit(1e-12))).alias("lp"))
+        d = d.select("g1", "g2", "g3", F.log(F.greatest(0.6 * p3 + 0.4 * p1, F.lit(1e-12))).alias("lp"))
+        return t.join(d, ["g1", "g2", "g3"]).select("sid", "place", "lp")
 
     def sentence_stats(self, sents: DataFrame) -> DataFrame:
         """(sid, ppl, burst, token_burst): perplexity, deviation of the logs, and that over their mean.

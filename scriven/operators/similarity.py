@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from .index import doc_frequency, norm_id, with_shingles
+from .index import doc_frequency, explode_shingles, norm_id, with_shingles
 
 
 def candidates(query: DataFrame, library: DataFrame, documents: DataFrame) -> DataFrame:
@@ -22,8 +22,8 @@ def candidates(query: DataFrame, library: DataFrame, documents: DataFrame) -> Da
     frequency = doc_frequency(lib)
     q = query.select(norm_id(F.col("kind"), F.col("norm")).alias("qid"), "kind", "norm", "units").distinct()
     c = library.select(norm_id(F.col("kind"), F.col("norm")).alias("cid"), "kind", "norm", "units").distinct()
-    q = with_shingles(q).select("qid", F.size("shingles").alias("nq"), F.explode("shingles").alias("shingle"))
-    c = with_shingles(c).select("cid", F.size("shingles").alias("nc"), F.explode("shingles").alias("shingle"))
+    q = explode_shingles(with_shingles(q), "qid", F.size("shingles").alias("nq"))
+    c = explode_shingles(with_shingles(c), "cid", F.size("shingles").alias("nc"))
     total = documents.agg(F.count("*").alias("n"))
     weighted = q.join(frequency, "shingle", "left").crossJoin(F.broadcast(total))  # one row
     weight = F.log(1 + F.greatest("n", F.lit(1)) / F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from .index import norm_id, sentences, with_shingles
+from ..session import stored
+from .index import explode_shingles, norm_id, sentences, with_shingles
 
 
 def web_query(norm: Column, kind: Column) -> Column:
@@ -34,18 +35,27 @@ def web_matches(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """
     cut = pages.select("doc_id", F.substring("text", 1, K.WEB_PAGE_CHARS).alias("text"))
     q = candidates.select(norm_id(F.col("kind"), F.col("norm")).alias("qid"), "kind", "norm", "units").distinct()
-    qs = q.withColumn("shingles", T.shingles(F.col("norm"), F.col("kind"), F.col("units"), 4)).select("qid", "kind", F.size("shingles").alias("nq"), F.explode("shingles").alias("shingle"))
+    qs = q.withColumn("shingles", T.shingles(F.col("norm"), F.col("kind"), F.col("units"), 4))
+    qs = explode_shingles(qs, "qid", "kind", F.size("shingles").alias("nq"))
     sents = with_shingles(sentences(cut).where("units >= 6"))
-    ps = sents.select(F.col("doc_id").alias("page_id"), F.col("idx").alias("page_idx"), "kind", F.size("shingles").alias("nc"), F.explode("shingles").alias("shingle"))
+    ps = explode_shingles(sents, F.col("doc_id").alias("page_id"), F.col("idx").alias("page_idx"), "kind", F.size("shingles").alias("nc"))
     met = qs.join(ps, ["shingle", "kind"]).groupBy("qid", "kind", "page_id", "page_idx").agg(F.count("*").alias("hits"), F.max("nq").alias("nq"), F.max("nc").alias("nc"))
     by_sentence = met.withColumn("sim", T.rounded(F.col("hits") / F.least("nq", "nc"), 4)).where(F.col("sim") >= T.threshold(F.col("kind"))).groupBy("qid", "page_id").agg(F.max("sim").alias("sim"))
     kinds = F.array(F.lit("zh"), F.lit("en"))
     whole = cut.select(F.col("doc_id").alias("page_id"), "text", F.explode(kinds).alias("kind"))
     whole = whole.withColumn("page_norm", T.normalize(F.col("text"), F.col("kind"))).drop("text")
-    lead = whole.withColumn("shingle", F.explode(T.shingles(F.col("page_norm"), F.col("kind"), T.units(F.col("page_norm"), F.col("kind")), 4))).select("page_id", "kind", "shingle")
-    # the first shingle of a candidate finds the pages to look through
-    first = q.withColumn("shingle", F.element_at(T.shingles(F.col("norm"), F.col("kind"), F.col("units"), 4), 1)).where(F.length("norm") >= K.WEB_MIN_CHARS)
-    held = first.join(lead, ["shingle", "kind"]).join(whole, ["page_id", "kind"]).where(F.contains("page_norm", "norm")).select("qid", "page_id", F.lit(1.0).alias("sim"))
+    lead = whole.withColumn("shingles", T.shingles(F.col("page_norm"), F.col("kind"), T.units(F.col("page_norm"), F.col("kind")), 4))
+    lead = stored(explode_shingles(lead, "page_id", "kind"))
+    # a page that holds a candidate holds all its shingles, but for the first and last where words are cut there; the rarest of the
+    # inner ones finds the pages, and only their texts are looked through
+    inner = q.withColumn("shingles", T.shingles(F.col("norm"), F.col("kind"), F.col("units"), 4))
+    inner = inner.withColumn("shingles", F.when(F.size("shingles") > 2, F.slice("shingles", F.lit(2), F.size("shingles") - 2)).otherwise(F.col("shingles")))
+    inner = explode_shingles(inner, "qid", "kind", F.size("shingles").alias("n"))
+    pages_of = lead.groupBy("kind", "shingle").agg(F.count("*").alias("pages"))
+    rarest = inner.join(pages_of, ["kind", "shingle"]).groupBy("qid", "kind", "n").agg(F.count("*").alias("known"), F.min_by("shingle", F.struct("pages", "shingle")).alias("shingle"))
+    pairs = rarest.where("known = n").join(lead, ["kind", "shingle"]).select("qid", "kind", "page_id")
+    norms = q.where(F.length("norm") >= K.WEB_MIN_CHARS).select("qid", "norm")
+    held = pairs.join(norms, "qid").join(whole, ["page_id", "kind"]).where(F.contains("page_norm", "norm")).select("qid", "page_id", F.lit(1.0).alias("sim"))
     best = by_sentence.unionByName(held).groupBy("qid", "page_id").agg(F.max("sim").alias("sim"))
     own = candidates.select("doc_id", "idx", norm_id(F.col("kind"), F.col("norm")).alias("qid"))
     return own.join(best, "qid").select("doc_id", "idx", "page_id", "sim")

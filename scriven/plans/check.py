@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aigc, index, lm, report, rewrite, similarity, web
-from ..session import stored
+from ..session import by_key, stored
 
 #: Fields of a stored check report that hold the submitted text.
 REPORT = "plagiarism STRUCT<sent_results: ARRAY<STRUCT<text: STRING>>>"
@@ -18,14 +18,14 @@ REPORT = "plagiarism STRUCT<sent_results: ARRAY<STRUCT<text: STRING>>>"
 def library(rows: DataFrame) -> DataFrame:
     """(doc_id, title, text, is_builtin) of library rows: re-delivered rows are one, null texts leave."""
     picked = rows.select(F.col("id").alias("doc_id"), "title", F.col("content").alias("text"), "is_builtin")
-    return picked.where("text IS NOT NULL").distinct()
+    return by_key(picked.where("text IS NOT NULL"), "doc_id")
 
 
 def papers(rows: DataFrame) -> DataFrame:
     """(doc_id, text) of the texts submitted in reports: their sentences in order, parted by a blank."""
     said = F.from_json("report", REPORT)["plagiarism"]["sent_results"]
     text = F.array_join(F.transform(said, lambda s: s["text"]), " ")
-    return rows.select(F.col("id").alias("doc_id"), text.alias("text")).where("text IS NOT NULL").distinct()
+    return by_key(rows.where("report IS NOT NULL").select(F.col("id").alias("doc_id"), text.alias("text")), "doc_id").where("text IS NOT NULL")
 
 
 class Check:

@@ -28,11 +28,11 @@ def queries() -> dict[str, Query]:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return library(spread(table(spark, sf, "library_docs").select("id", "title", "content", "is_builtin")))
+    return library(table(spark, sf, "library_docs").select("id", "title", "content", "is_builtin"))
 
 
 def _papers(spark: SparkSession, sf: str) -> DataFrame:
-    return papers(spread(table(spark, sf, "checks").select("id", "report")))
+    return papers(table(spark, sf, "checks").select("id", "report"))
 
 
 def _check(spark: SparkSession, sf: str) -> Check:
@@ -188,7 +188,7 @@ def sentence_units(spark, sf):
 
 @query
 def sentence_shingles(spark, sf):
-    return index.with_shingles(_sents(spark, sf)).select("doc_id", "idx", F.explode("shingles").alias("shingle"))
+    return index.explode_shingles(index.with_shingles(_sents(spark, sf)), "doc_id", "idx")
 
 
 @query
@@ -260,7 +260,8 @@ def chunk_pack(spark, sf):
 
 @query
 def shingle_df(spark, sf):
-    return index.doc_frequency(index.with_shingles(index.library_sentences(_sents(spark, sf))))
+    """Sentences that a library does not keep have no shingle, so none is left out before."""
+    return index.doc_frequency(index.with_shingles(_sents(spark, sf)))
 
 
 @query

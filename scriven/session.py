@@ -25,6 +25,13 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def by_key(scan: DataFrame, key: str) -> DataFrame:
+    """``scan`` dealt by ``key`` in one shuffle that later groupings and windows by it share; rows of one key are re-deliveries and become one."""
+    spark = scan.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return scan.repartition(parts, key).dropDuplicates([key])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
