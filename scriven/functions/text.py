@@ -118,16 +118,69 @@ def short_title(text: Column, title: Column | None = None) -> Column:
     return F.when(F.length(given) > 0, F.substring(given, 1, 120)).when(F.length(first) > 0, first).otherwise("untitled")
 
 
-def html_text(html: Column) -> Column:
-    """Visible text: skipped elements and tags away, entities decoded, blanks squeezed."""
-    out = html
-    for tag in ("script", "style", "noscript", "svg", "head"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    out = F.regexp_replace(out, "(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, "<[^>]+>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+# fixed values: named character references that are decoded; the ampersand is last, so that nothing is decoded twice
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"),
+            ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&times;", "×"), ("&deg;", "°"), ("&amp;", "&"))
+
+
+def unescape(text: Column) -> Column:
+    """Numeric character references, decimal and hexadecimal, and those of ``ENTITIES`` decoded; others stay."""
+    # each different number of a text once
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+
+    def decoded(out: Column, n: Column) -> Column:
+        code = F.when(F.lower(F.substring(n, 1, 1)) == "x", F.conv(F.substring(n, 2, 8), 16, 10)).otherwise(n).cast("int")
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        known = ((code >= 1) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        return F.replace(out, F.concat(F.lit("&#"), n, F.lit(";")), F.when(known, sign).otherwise(F.lit("\ufffd")))
+
+    out = F.aggregate(numbers, text, decoded)
+    for entity, sign in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " "))
+    return out
+
+
+def strip_tags(text: Column) -> Column:
+    """Tags away, character references decoded, blanks at the ends away."""
+    return F.regexp_replace(unescape(F.regexp_replace(text, "<[^>]+>", "")), r"^\s+|\s+$", "")
+
+
+SKIPPED = "script|style|noscript|svg|head"
+
+
+def submit_title(text: Column, title: Column, file: Column) -> Column:
+    """Title of a submitted text: the given one, else the file's name without its ending, else the first line, at most 40 characters."""
+    stem = F.regexp_replace(F.regexp_replace(file, r"^.*[/\\\\]", ""), r"(?<=.)\.[^.]*$", "")
+    first = F.substring(F.split_part(F.trim(text), F.lit("\n"), F.lit(1)), 1, 40)
+    return F.when(F.length(F.trim(title)) > 0, F.trim(title)).when(F.length(stem) > 0, stem).when(F.length(first) > 0, first).otherwise("untitled")
+
+
+def safe_url(url: Column) -> Column:
+    """The address if it is one of the web, else empty."""
+    return F.when(url.rlike("(?i)^https?://"), url).otherwise("")
+
+
+def html_text(html: Column) -> Column:
+    """Visible text: skipped elements and tags away, entities decoded, blanks squeezed.
+
+    Scripts and styles end at their own end tag, or never. For the others a
+    counter of open skipped elements runs over tags and texts, so nested ones
+    and ones that are never closed hide what they hold.
+    """
+    out = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
+    out = F.regexp_replace(out, r"(?s)<!--.*?(?:-->|\z)", " ")
+    parts = F.regexp_extract_all(out, F.lit(r"(?s)</?[A-Za-z][^>]*>|<![^>]*>|[^<]+|<"), F.lit(0))
+    start = F.struct(F.lit(0).alias("deep"), F.lit("").alias("text"))
+
+    def step(held: Column, part: Column) -> Column:
+        opens, closes = part.rlike(rf"(?i)^<(?:{SKIPPED})\b"), part.rlike(rf"(?i)^</(?:{SKIPPED})\b")
+        tag = part.rlike("^<[/!A-Za-z]")
+        deep = F.when(opens, held["deep"] + 1).when(closes, F.greatest(F.lit(0), held["deep"] - 1)).otherwise(held["deep"])
+        text = F.when(tag, F.concat(held["text"], F.lit(" "))).when(held["deep"] > 0, held["text"]).otherwise(F.concat(held["text"], part))
+        return F.struct(deep.alias("deep"), text.alias("text"))
+
+    text = unescape(F.aggregate(parts, start, step)["text"])
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x{A0}]+", " "))
 
 
 def escape_html(text: Column) -> Column:

@@ -56,3 +56,10 @@ def best_threshold(swept: DataFrame, *by: str) -> DataFrame:
 def with_all(scored: DataFrame, by: str) -> DataFrame:
     """``scored`` twice: under its own ``by`` and under 'all'."""
     return scored.withColumn(by, F.explode(F.array(F.col(by), F.lit("all"))))
+
+
+def gates(areas: DataFrame, swept: DataFrame, by: str, least_auroc: float = 0.80, most_fpr45: float = 0.40) -> DataFrame:
+    """(gate, value, bound, passed): whether the whole evaluation set reaches the least AUROC, and stays below the false-positive rate at 45."""
+    a = areas.where(F.col(by) == "all").select(F.lit("auroc").alias("gate"), F.col("auroc").alias("value"), F.lit(least_auroc).alias("bound"), (F.col("auroc") >= least_auroc).alias("passed"))
+    f = swept.where((F.col(by) == "all") & (F.col("threshold") == 45))
+    return a.unionByName(f.select(F.lit("fpr_at_45").alias("gate"), F.col("fpr").alias("value"), F.lit(most_fpr45).alias("bound"), (F.col("fpr") <= most_fpr45).alias("passed")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,16 +91,47 @@ def simhash(docs: DataFrame) -> DataFrame:
     return bits.select("doc_id", word.alias("fingerprint"))
 
 
+def _masks(bits: int, most: int) -> Column:
+    return F.array(*[F.lit(sum(1 << b for b in c)).cast("int") for n in range(most + 1) for c in combinations(range(bits), n)])
+
+
+def simhash_classes(prints: DataFrame) -> DataFrame:
+    """(doc_id, class_id): documents of one fingerprint are a class, named after the least id."""
+    return prints.join(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "fingerprint").select("doc_id", "class_id")
+
+
+def simhash_pairs(prints: DataFrame, most: int = K.VARIANT_BITS) -> DataFrame:
+    """(id_a, id_b, distance), id_a < id_b: classes of ``simhash_classes`` whose fingerprints differ in at most ``most`` (12 to 15) bits.
+
+    Four blocks of 16 bits: of two such fingerprints one block differs in at
+    most three bits. It is met by changing up to two bits on one side and one
+    on the other, so a fingerprint is looked up at 4 x (137 + 17) places and
+    no pair is missed. The pairs themselves grow as near duplicates do.
+    """
+    if most > 15:
+        raise ValueError("four blocks find at most 15 different bits")
+    reps = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
+    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fingerprint", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("value")) for k in range(4)])
+    each = reps.select("id", "fingerprint", F.explode(blocks).alias("b")).select("id", "fingerprint", "b.block", "b.value")
+    near = lambda n: each.withColumn("mask", F.explode(_masks(16, n))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    a = near(2).select(F.col("id").alias("id_a"), F.col("fingerprint").alias("f"), "block", "value")
+    b = near(1).select(F.col("id").alias("id_b"), F.col("fingerprint").alias("g"), "block", "value")
+    distance = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).cast("int")
+    # the pair is found from both sides: the lower id may be the one that is changed more
+    met = a.join(b, ["block", "value"]).where(F.col("id_a") != F.col("id_b")).where(distance <= most)
+    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), distance.alias("distance")).distinct()
+
+
 def state_hash(docs: DataFrame) -> DataFrame:
     """One row: a digest of the collection that changes with any id, title or content.
 
-    Rows are digested where they are and only their digests are brought
-    together, ordered by id; a digest of digests per hash bucket keeps each list short.
+    Rows are digested where they are; their digests are added up, which no
+    order changes and partial sums can do: three sums of 64-bit numbers out of each.
     """
     row = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("title", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256)), 256)
-    d = docs.select("doc_id", row.alias("h")).withColumn("bucket", F.pmod("doc_id", F.lit(1000)))
-    per = d.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("documents"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("state"))
+    # 60 bits of a digest each, in sums wide enough for any number of rows
+    sums = [F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(3)]
+    return docs.agg(F.count("*").alias("documents"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("state"))
 
 
 def remove_documents(df: DataFrame, shingled: DataFrame, removed: DataFrame) -> DataFrame:

@@ -36,14 +36,21 @@ def ngrams(toks: DataFrame, n: int) -> DataFrame:
     return toks.select(F.explode(each).alias("g")).groupBy(*[f"g.g{k + 1}" for k in range(n)]).agg(F.count("*").alias("n"))
 
 
+def model_size(uni: DataFrame, tri: DataFrame) -> DataFrame:
+    """One row (v, total): distinct tokens, and trigrams."""
+    return uni.agg(F.count("*").alias("v")).crossJoin(tri.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))  # one row each
+
+
 class Model:
-    """Counts of one, two and three tokens; ``size`` has one row (v, total): distinct tokens and trigrams."""
+    """Counts of one, two and three tokens, of a library's sentences or as a snapshot has them; ``size`` has one row (v, total)."""
 
-    def __init__(self, library: DataFrame):
+    def __init__(self, library: DataFrame | None = None, tables: dict[str, DataFrame] | None = None):
+        if tables is not None:
+            self.uni, self.bi, self.tri, self.size = (tables[t] for t in ("one", "two", "three", "size"))
+            return
         toks = library_tokens(library)
         self.uni, self.bi, self.tri = ngrams(toks, 1), ngrams(toks, 2), ngrams(toks, 3)
-        total = toks.agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.size("toks") - 2)), F.lit(0)).alias("total"))
-        self.size = self.uni.agg(F.count("*").alias("v")).crossJoin(total)  # one row each
+        self.size = model_size(self.uni, self.tri)
 
     def token_logs(self, sents: DataFrame) -> DataFrame:
         """(sid, place, lp): log-probability of every token after two others, per class of equal sentences.

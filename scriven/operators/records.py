@@ -14,6 +14,20 @@ def text_key(text: Column) -> Column:
     return F.sha2(F.regexp_replace(text, r"^\s+|\s+$", ""), 256)
 
 
+def params_key(options: Column) -> Column:
+    """Digest of check options (JSON): the four that change a result, keys in order, defaults where one is missing."""
+    o = F.from_json(options, "mode STRING, strip_references BOOLEAN, web_check BOOLEAN, web_check_count INT")
+    part = lambda name, c: F.concat(F.lit(f'"{name}": '), c)
+    flag = lambda name, default: F.coalesce(o[name], F.lit(default)).cast("string")
+    parts = [
+        part("mode", F.concat(F.lit('"'), F.coalesce(o["mode"], F.lit("full")), F.lit('"'))),
+        part("strip_references", flag("strip_references", True)),
+        part("web_check", flag("web_check", False)),
+        part("web_check_count", F.coalesce(o["web_check_count"], F.lit(10)).cast("string")),
+    ]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row per key; rows leave the map side one per key."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -37,6 +51,36 @@ def ingest(incoming: DataFrame, library: DataFrame) -> DataFrame:
     return latest(fresh, ["key"], [F.col("doc_id")]).drop("key")
 
 
+def harvest(incoming: DataFrame, library: DataFrame, target: int, most_known: int = 800) -> DataFrame:
+    """(source, fetched, added): how far each source's documents (source, doc_id, title) are read, in order of id.
+
+    A title known to the library, or met before in the source, is not added.
+    Reading ends with the ``target``-th document, or with the one after
+    ``most_known`` known titles: so at most ``target`` rows of a source are looked at.
+    """
+    by = Window.partitionBy("source").orderBy("doc_id")
+    first = incoming.select("source", "doc_id", title_key(F.col("title")).alias("key")).where(F.length("key") > 0)
+    first = first.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= target)
+    known = library.select(title_key(F.col("title")).alias("key")).distinct().withColumn("held", F.lit(True))
+    once = F.row_number().over(Window.partitionBy("source", "key").orderBy("nth"))
+    rows = first.join(known, "key", "left").withColumn("new", (F.col("held").isNull() & (once == 1)).cast("int"))
+    rows = rows.withColumn("added", F.sum("new").over(Window.partitionBy("source").orderBy("nth")))
+    # the row that brings more known titles than allowed is the last one read
+    read = rows.where(F.col("nth") - F.col("added") - (1 - F.col("new")) <= most_known)
+    return read.groupBy("source").agg(F.count("*").alias("fetched"), F.sum("new").alias("added"))
+
+
+def error_tail(messages: Column) -> Column:
+    """The last two messages of an array, at most 400 characters."""
+    last = F.when(F.size(messages) > 2, F.slice(messages, -2, 2)).otherwise(messages)
+    return F.substring(F.array_join(last, "; "), 1, 400)
+
+
+def library_part(is_builtin: Column) -> Column:
+    """The part of a library listing that a document stands in."""
+    return F.when(is_builtin == 1, "builtin").otherwise("user")
+
+
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Rows of both, the newest per key; on equal versions the change wins."""
     both = table.withColumn("new_", F.lit(0)).unionByName(changes.withColumn("new_", F.lit(1)))

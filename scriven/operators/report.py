@@ -90,6 +90,27 @@ def fragments(results: DataFrame) -> DataFrame:
     return out.select("doc_id", "fragment", "start_pos", "end_pos", "text", "dup_units", rate.alias("rate"), "top.source_id", "top.sim")
 
 
+def fragment_sources(results: DataFrame, matches: DataFrame) -> DataFrame:
+    """(doc_id, fragment, place, source_id, hits, sim): every document among the best three of a fragment's matched sentences.
+
+    In order of hits, then of where it is met first; ``sim`` is its greatest.
+    """
+    by_idx = Window.partitionBy("doc_id").orderBy("idx")
+    hit = results.where("matched").select("doc_id", "idx")
+    new = F.coalesce((F.col("idx") - F.lag("idx").over(by_idx) > K.FRAGMENT_GAP + 1).cast("int"), F.lit(0))
+    hit = hit.withColumn("new", new).withColumn("fragment", F.sum("new").over(by_idx))
+    met = matches.select(F.col("paper_id").alias("doc_id"), "idx", F.col("place").alias("p"), F.col("doc_id").alias("source_id"), "sim")
+    by = hit.join(met, ["doc_id", "idx"]).groupBy("doc_id", "fragment", "source_id")
+    by = by.agg(F.count("*").alias("hits"), F.max("sim").alias("sim"), F.min(F.struct("idx", "p")).alias("met"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "fragment").orderBy(F.desc("hits"), "met"))
+    return by.select("doc_id", "fragment", place.alias("place"), "source_id", "hits", "sim")
+
+
+def machine_band(rate: str) -> Column:
+    """low, middle or high for a machine-text rate."""
+    return F.when(F.col(rate) < 30, "low").when(F.col(rate) < 60, "middle").otherwise("high")
+
+
 def rate_band(rate: str) -> Column:
     """low, middle or high for a duplication rate."""
     return F.when(F.col(rate) < 10, "low").when(F.col(rate) < 25, "middle").otherwise("high")

@@ -67,23 +67,36 @@ def thin_connectors(sents: DataFrame, text: str = "text") -> DataFrame:
     return s.withColumn("thinned", F.when(later, cut).otherwise(F.col(text))).drop("opener")
 
 
-def rewrite(docs: DataFrame, sents: DataFrame, matched: DataFrame, scores: DataFrame) -> DataFrame:
-    """(doc_id, idx, start_pos, end_pos, orig, new): the changed sentences.
+#: What a rewriting changes: copied sentences, machine-styled ones, or both.
+MODES = ("dedup", "humanize", "both")
+
+
+def rewrite(sents: DataFrame, matched: DataFrame, scores: DataFrame, mode: str = "both") -> DataFrame:
+    """(doc_id, idx, start_pos, end_pos, orig, new, reasons): the changed sentences.
 
     Sentences of middle or high machine-text level lose stock phrases and
-    repeated openings; matched ones get synonyms and are split when long.
+    repeated openings; matched ones get synonyms and are split when long. In
+    the mode ``humanize`` machine-styled ones are split instead. ``reasons``
+    names the steps that changed a sentence, in their order.
     """
-    styled = scores.where("level <> 'low'").select("doc_id", "start_pos").withColumn("styled", F.lit(True))
-    copied = matched.where("matched").select("doc_id", "start_pos").withColumn("copied", F.lit(True))
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    never = F.lit(False)
+    styled = scores.where(F.lit(mode != "dedup") & (F.col("level") != "low")).select("doc_id", "start_pos").withColumn("styled", F.lit(True))
+    copied = matched.where(F.lit(mode != "humanize") & F.col("matched")).select("doc_id", "start_pos").withColumn("copied", F.lit(True))
     s = sents.join(styled, ["doc_id", "start_pos"], "left").join(copied, ["doc_id", "start_pos"], "left")
-    plain = s.where("styled").withColumn("text1", swap_cliches(F.col("text"), F.col("kind")))
-    plain = thin_connectors(plain, "text1").select("doc_id", "idx", F.col("thinned").alias("text1"))
-    s = s.join(plain, ["doc_id", "idx"], "left").withColumn("text1", F.coalesce("text1", "text"))
-    done = split_long(swap_synonyms(F.col("text1"), F.col("kind")), F.col("kind"))
+    s = s.withColumn("styled", F.coalesce("styled", never)).withColumn("copied", F.coalesce("copied", never))
+    plain = s.where("styled").withColumn("t1", swap_cliches(F.col("text"), F.col("kind")))
+    plain = thin_connectors(plain, "t1").select("doc_id", "idx", "t1", F.col("thinned").alias("t2"))
+    s = s.where("styled OR copied").join(plain, ["doc_id", "idx"], "left")
+    s = s.withColumn("t1", F.coalesce("t1", "text")).withColumn("t2", F.coalesce("t2", "text"))
+    s = s.withColumn("t3", F.when(F.col("copied"), swap_synonyms(F.col("t2"), F.col("kind"))).otherwise(F.col("t2")))
+    s = s.withColumn("t4", F.when(F.col("copied") | F.lit(mode == "humanize"), split_long(F.col("t3"), F.col("kind"))).otherwise(F.col("t3")))
+    steps = (("stock phrase", "text", "t1"), ("repeated opening", "t1", "t2"), ("synonym", "t2", "t3"), ("long sentence", "t3", "t4"))
+    reasons = F.filter(F.array(*[F.when(F.col(a) != F.col(b), F.lit(name)) for name, a, b in steps]), lambda r: r.isNotNull())
     blank = "^[\\s\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]+|[\\s\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]+$"
-    new = F.regexp_replace(F.when(F.col("copied"), done).otherwise(F.col("text1")), blank, "")
-    s = s.withColumn("new", new).where((F.col("new") != "") & (F.col("new") != F.regexp_replace("text", blank, "")))
-    return s.select("doc_id", "idx", "start_pos", "end_pos", F.col("text").alias("orig"), "new")
+    s = s.withColumn("new", F.regexp_replace("t4", blank, "")).where((F.col("new") != "") & (F.col("new") != F.regexp_replace("text", blank, "")))
+    return s.select("doc_id", "idx", "start_pos", "end_pos", F.col("text").alias("orig"), "new", reasons.alias("reasons"))
 
 
 def full_text(docs: DataFrame, edits: DataFrame) -> DataFrame:

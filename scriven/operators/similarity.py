@@ -10,7 +10,7 @@ from ..functions import text as T
 from .index import doc_frequency, explode_shingles, norm_id, with_shingles
 
 
-def candidates(query: DataFrame, library: DataFrame, documents: DataFrame) -> DataFrame:
+def candidates(query: DataFrame, library: DataFrame, documents: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
     """(qid, cid, hits, containment, coverage) of the sentence classes that share a shingle.
 
     Sentences with equal normal forms are one class on either side, so a copied
@@ -18,8 +18,8 @@ def candidates(query: DataFrame, library: DataFrame, documents: DataFrame) -> Da
     frequencies and query shingles all meet on the shingle. Coverage is the
     share of the query's shingle weight ln(1 + N / df) that the candidate has.
     """
-    lib = with_shingles(library)
-    frequency = doc_frequency(lib)
+    if frequency is None:
+        frequency = doc_frequency(with_shingles(library))
     q = query.select(norm_id(F.col("kind"), F.col("norm")).alias("qid"), "kind", "norm", "units").distinct()
     c = library.select(norm_id(F.col("kind"), F.col("norm")).alias("cid"), "kind", "norm", "units").distinct()
     q = explode_shingles(with_shingles(q), "qid", F.size("shingles").alias("nq"))
@@ -36,7 +36,7 @@ def candidates(query: DataFrame, library: DataFrame, documents: DataFrame) -> Da
     return met.join(whole, "qid").select("qid", "cid", "hits", contained.alias("containment"), T.rounded(F.col("shared_w") / F.col("total_w"), 9).alias("coverage"))
 
 
-def best_documents(query: DataFrame, library: DataFrame, documents: DataFrame) -> DataFrame:
+def best_documents(query: DataFrame, library: DataFrame, documents: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
     """(qid, place, doc_id, sent_idx, sim): for each query class its up to three documents, best first.
 
     Candidate sentences are walked in the order of hits, then document and
@@ -44,7 +44,7 @@ def best_documents(query: DataFrame, library: DataFrame, documents: DataFrame) -
     passes both gates stands for it, and the first three documents stay. A class
     has at most 200 members among the 200, so no more are expanded.
     """
-    found = candidates(query, library, documents)
+    found = candidates(query, library, documents, frequency)
     kinds = query.select(norm_id(F.col("kind"), F.col("norm")).alias("qid"), "kind").distinct()
     order = Window.partitionBy("cid").orderBy("doc_id", "idx")
     members = library.select(norm_id(F.col("kind"), F.col("norm")).alias("cid"), "doc_id", "idx")
@@ -59,8 +59,8 @@ def best_documents(query: DataFrame, library: DataFrame, documents: DataFrame) -
     return kept.select("qid", place.alias("place"), "doc_id", F.col("s.idx").alias("sent_idx"), F.col("s.sim").alias("sim"))
 
 
-def find_similar(query: DataFrame, library: DataFrame, documents: DataFrame) -> DataFrame:
+def find_similar(query: DataFrame, library: DataFrame, documents: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
     """(paper_id, idx, place, doc_id, sent_idx, sim) of every query sentence with a similar library sentence."""
-    best = best_documents(query, library, documents)
+    best = best_documents(query, library, documents, frequency)
     own = query.select(F.col("doc_id").alias("paper_id"), "idx", norm_id(F.col("kind"), F.col("norm")).alias("qid"))
     return own.join(best, "qid").select("paper_id", "idx", "place", "doc_id", "sent_idx", "sim")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import aigc, index, lm, report, rewrite, similarity, web
+from ..operators import aigc, engines, index, lm, report, rewrite, similarity, web
 from ..session import by_key, stored
 
 #: Fields of a stored check report that hold the submitted text.
@@ -36,12 +36,13 @@ class Check:
     the similarity check; the machine-text score always reads the whole text.
     """
 
-    def __init__(self, library: DataFrame, papers: DataFrame, strip: bool = True):
-        self.library, self.papers, self.strip = library, papers, strip
+    def __init__(self, library: DataFrame, papers: DataFrame, strip: bool = True, tables: dict[str, DataFrame] | None = None):
+        """``tables`` is a ``snapshot`` of the library: its sentences, document frequencies and model are then read, not made."""
+        self.library, self.papers, self.strip, self.tables = library, papers, strip, tables
 
     @cached_property
     def library_sentences(self) -> DataFrame:
-        return stored(index.library_sentences(index.sentences(self.library)))
+        return self.tables["sentences"] if self.tables else stored(index.library_sentences(index.sentences(self.library)))
 
     @cached_property
     def sentences(self) -> DataFrame:
@@ -50,7 +51,8 @@ class Check:
 
     @cached_property
     def matches(self) -> DataFrame:
-        return stored(similarity.find_similar(self.sentences, self.library_sentences, self.library))
+        frequency = self.tables["frequency"] if self.tables else None
+        return stored(similarity.find_similar(self.sentences, self.library_sentences, self.library, frequency))
 
     @cached_property
     def results(self) -> DataFrame:
@@ -76,7 +78,7 @@ class Check:
 
     @cached_property
     def model(self) -> lm.Model:
-        return lm.Model(self.library_sentences)
+        return lm.Model(self.library_sentences, self.tables)
 
     @cached_property
     def whole_sentences(self) -> DataFrame:
@@ -103,46 +105,109 @@ class Check:
         return aigc.final_scores(self.papers, self.features, self.sentence_scores)
 
     @cached_property
-    def edits(self) -> DataFrame:
-        return stored(rewrite.rewrite(self.papers, self.whole_sentences, self.results, self.sentence_scores))
-
-    @cached_property
-    def rewritten(self) -> DataFrame:
-        return stored(rewrite.full_text(self.papers, self.edits))
-
-    def rewrite_delta(self) -> DataFrame:
-        """(doc_id, changed, before and after of both rates): the rewritten texts measured the same way."""
-        after = Check(self.library, self.rewritten, strip=False)
-        after.library_sentences = self.library_sentences  # the library is the same
-        changed = self.edits.groupBy("doc_id").agg(F.count("*").alias("changed"))
+    def unstripped(self) -> Check:
+        """The same check without leaving reference sections out: rewriting measures and changes whole texts."""
+        if not self.strip:
+            return self
+        other = Check(self.library, self.papers, strip=False)
+        other.library_sentences, other.sentences, other.model = self.library_sentences, self.whole_sentences, self.model
+        other.smoothness, other.sentence_scores = self.smoothness, self.sentence_scores
+        return other
+
+    def edits(self, mode: str = "both") -> DataFrame:
+        c = self.unstripped
+        return stored(rewrite.rewrite(c.sentences, c.results, c.sentence_scores, mode))
+
+    def rewritten(self, edits: DataFrame) -> DataFrame:
+        return rewrite.full_text(self.papers, edits)
+
+    def rewrite_delta(self, mode: str = "both") -> DataFrame:
+        """(doc_id, mode, changed, before and after of the rates the mode is about): before and after are measured alike."""
+        c, edits = self.unstripped, self.edits(mode)
+        after = Check(self.library, stored(self.rewritten(edits)), strip=False)
+        after.library_sentences, after.model = self.library_sentences, self.model  # the library is the same
+        changed = edits.groupBy("doc_id").agg(F.count("*").alias("changed"))
         rate = lambda c, n: c.rates.select("doc_id", F.col("total_rate").alias(n))
         machine = lambda c, n: c.machine_rates.select("doc_id", F.col("total_rate").alias(n))
-        out = self.papers.select("doc_id").join(changed, "doc_id", "left").na.fill(0, ["changed"])
-        for part in (rate(self, "dup_before"), rate(after, "dup_after"), machine(self, "machine_before"), machine(after, "machine_after")):
-            out = out.join(part, "doc_id", "left")
-        return out
+        out = self.papers.select("doc_id", F.lit(mode).alias("mode")).join(changed, "doc_id", "left").na.fill(0, ["changed"])
+        none = [F.lit(None).cast("double").alias(n) for n in ("dup_before", "dup_after", "machine_before", "machine_after")]
+        for wanted, parts in ((mode != "humanize", (rate, "dup")), (mode != "dedup", (machine, "machine"))):
+            measure, name = parts
+            if wanted:
+                out = out.join(measure(c, f"{name}_before"), "doc_id", "left").join(measure(after, f"{name}_after"), "doc_id", "left")
+            else:
+                out = out.select("*", *[x for x in none[:2]] if name == "dup" else none[2:])
+        return out.select("doc_id", "mode", "changed", "dup_before", "dup_after", "machine_before", "machine_after")
 
     def web(self, pages: DataFrame) -> DataFrame:
         found = stored(web.web_candidates(self.results))
         matches = stored(web.web_matches(found, pages))
         return web.web_sources(found, matches, self.results)
 
-    def full_report(self) -> DataFrame:
-        """(doc_id, report): one JSON document per paper with rates, sources, fragments and machine-text score."""
-        frag = self.fragments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "dup_units", "rate", "source_id", "sim"))).alias("fragments"))
-        src = self.sources.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("dup_units")).alias("order"), "source_id", "dup_units", "hits", "rate"))).alias("sources"))
-        src = src.withColumn("sources", F.transform("sources", lambda s: F.struct(s["source_id"].alias("source_id"), s["dup_units"].alias("dup_units"), s["hits"].alias("hits"), s["rate"].alias("rate"))))
-        joined = self.papers.select("doc_id").join(self.rates, "doc_id", "left").join(frag, "doc_id", "left").join(src, "doc_id", "left")
-        joined = joined.join(self.machine_rates.withColumnRenamed("total_rate", "machine_rate"), "doc_id", "left")
-        return joined.select("doc_id", F.to_json(F.struct("total_rate", "quote_rate", "dup_units", "total_units", "sentence_count", "matched_sentences", "fragments", "sources", "machine_rate")).alias("report"))
+    def full_report(self, mode: str = "full", pages: DataFrame | None = None) -> DataFrame:
+        """(doc_id, report): one JSON document per paper.
+
+        ``mode`` is full, plagiarism or aigc: a part that is not asked for is
+        not computed and null. ``plagiarism`` has rates, fragments, sources,
+        sentence results and, with ``pages``, the web part; ``aigc`` has every
+        engine's outcome, features and paragraphs.
+        """
+        if mode not in ("full", "plagiarism", "aigc"):
+            raise ValueError("mode must be full, plagiarism or aigc")
+        listed = lambda df, name, *cols: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+        out = self.papers.select("doc_id", T.detect_language(F.col("text")).alias("language"), T.word_count(F.col("text")).alias("word_count"))
+        plagiarism = aigc_part = F.lit(None).cast("string")
+        if mode != "aigc":
+            fragments = listed(self.fragments, "fragments", "start_pos", "end_pos", "text", "dup_units", "rate", "source_id", "sim")
+            sources = listed(self.sources, "sources", (-F.col("dup_units")).alias("order"), "source_id", "dup_units", "hits", "rate")
+            results = listed(self.results, "sent_results", "start_pos", "end_pos", "text", "units", "matched", "source_id", "sim")
+            out = out.join(self.rates, "doc_id", "left").join(fragments, "doc_id", "left").join(sources, "doc_id", "left").join(results, "doc_id", "left")
+            if pages is not None:
+                out = out.join(listed(self.web(pages), "web", (-F.col("units")).alias("order"), "page_id", "units", "hits", "rate"), "doc_id", "left")
+            plagiarism = F.struct("total_rate", "quote_rate", "dup_units", "total_units", "sentence_count", "matched_sentences", "fragments", "sources", "sent_results", *(["web"] if pages is not None else []))
+        if mode != "plagiarism":
+            outcomes = listed(engines.outcomes(self.machine_rates), "engines", "place", "engine", "region", "status", "rate")
+            features = listed(aigc.feature_rows(self.features), "features", "feature", "value")
+            parts = listed(aigc.paragraphs(self.sentence_scores), "paragraphs", "paragraph", "start_pos", "end_pos", "rate", "high_count", "sentences")
+            out = out.join(outcomes, "doc_id", "left").join(features, "doc_id", "left").join(parts, "doc_id", "left")
+            aigc_part = F.struct("engines", "features", "paragraphs")
+        options = F.struct(F.lit(mode).alias("mode"), F.lit(self.strip).alias("strip_references"), F.lit(pages is not None).alias("web_check"))
+        return out.select("doc_id", F.to_json(F.struct("language", "word_count", plagiarism.alias("plagiarism"), aigc_part.alias("aigc"), options.alias("options"))).alias("report"))
 
     def html_report(self) -> DataFrame:
-        """(doc_id, html): a short page per paper, all text escaped, fragments cut to 200 characters."""
-        row = F.concat(F.lit("<tr><td>"), F.col("source_id").cast("string"), F.lit("</td><td>"), T.escape_html(F.substring("text", 1, 200)), F.lit("</td></tr>"))
-        rows = self.fragments.select("doc_id", "start_pos", row.alias("row")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "row"))).alias("r"))
-        joined = self.rates.join(rows, "doc_id", "left").join(self.machine_rates.withColumnRenamed("total_rate", "machine_rate"), "doc_id", "left")
-        table = F.coalesce(F.array_join(F.transform("r", lambda x: x["row"]), ""), F.lit(""))
+        """(doc_id, html): a page per paper, all text escaped.
+
+        Rates with their bands, sources, fragments cut to 200 characters, engines, and the
+        whole text with matched and machine-styled sentences marked.
+        """
+        cell = lambda c: F.concat(F.lit("<td>"), T.escape_html(c.cast("string")), F.lit("</td>"))
+        line = lambda *cells: F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
+
+        def table(df: DataFrame, name: str, order: list, row: Column) -> DataFrame:
+            # the rows of one paper, in order
+            by = df.select("doc_id", F.struct(*order, row.alias("row")).alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+            return by.select("doc_id", F.array_join(F.transform("r", lambda x: x["row"]), "").alias(name))
+
+        rate = F.format_string("%.1f", F.col("rate"))
+        parts = [
+            table(self.sources, "sources", [(-F.col("dup_units")).alias("a"), F.col("source_id").alias("b")], line(cell(F.col("source_id")), cell(F.col("hits")), cell(rate))),
+            table(self.fragments, "fragments", [F.col("start_pos").alias("a"), F.col("fragment").alias("b")], line(cell(F.col("source_id")), cell(F.substring("text", 1, 200)))),
+            table(engines.outcomes(self.machine_rates), "engines", [F.col("place").alias("a"), F.col("engine").alias("b")], line(cell(F.col("engine")), cell(F.col("status")), cell(F.coalesce(rate, F.lit("-"))))),
+        ]
+        level = self.sentence_scores.select("doc_id", "start_pos", "level")
+        sents = self.results.join(level, ["doc_id", "start_pos"], "left")
+        mark = F.when(F.col("matched"), "dup").when(F.col("level") == "high", "machine")
+        body = F.when(mark.isNull(), T.escape_html(F.col("text"))).otherwise(F.concat(F.lit("<mark class='"), mark, F.lit("'>"), T.escape_html(F.col("text")), F.lit("</mark>")))
+        parts.append(table(sents, "body", [F.col("start_pos").alias("a"), F.col("idx").alias("b")], body))
+        out = self.rates.join(self.machine_rates.withColumnRenamed("total_rate", "machine_rate"), "doc_id", "left")
+        for p in parts:
+            out = out.join(p, "doc_id", "left")
+        card = lambda name, c, band: F.concat(F.lit(f"<p class='{name} "), band, F.lit("'>"), F.format_string("%.1f", c), F.lit(" %</p>"))
+        machine = F.coalesce("machine_rate", F.lit(0.0))
+        out = out.withColumn("machine_rate", machine)
+        whole = [F.concat(F.lit(f"<table class='{n}'>"), F.coalesce(n, F.lit("")), F.lit("</table>")) for n in ("sources", "fragments", "engines")]
         html = F.concat(
-            F.lit("<html><body><p class='"), report.rate_band("total_rate"), F.lit("'>"), F.format_string("%.1f", "total_rate"), F.lit(" %</p><p>"), F.format_string("%.1f", F.coalesce("machine_rate", F.lit(0.0))), F.lit(" %</p><table>"), table, F.lit("</table></body></html>"),
-        )
-        return joined.select("doc_id", html.alias("html"))
+            F.lit("<html><body>"), card("dup", F.col("total_rate"), report.rate_band("total_rate")), card("machine", F.col("machine_rate"), report.machine_band("machine_rate")),
+            *whole, F.lit("<pre>"), F.coalesce("body", F.lit("")), F.lit("</pre></body></html>"),
+        )
+        return out.select("doc_id", html.alias("html"))

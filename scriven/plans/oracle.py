@@ -200,6 +200,7 @@ _EVAL = {
     "paper": "SELECT DISTINCT item_id AS doc_id, text FROM aigc_eval WHERE text IS NOT NULL",
     "scored": "SELECT e.doc_id, lang, label, total_rate AS score FROM (SELECT DISTINCT item_id AS doc_id, lang, (label = 'ai')::INT AS label FROM aigc_eval WHERE text IS NOT NULL) e JOIN final USING (doc_id)",
     "twice": "SELECT * FROM scored UNION ALL SELECT * REPLACE ('all' AS lang) FROM scored",
+    "area": f"SELECT lang, {_round('won / (p * n)', 6)} AS auroc FROM (SELECT lang, sum(r * label) - sum(label) * (sum(label) + 1) / 2 AS won, sum(label) AS p, sum(1 - label) AS n FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS r FROM twice) GROUP BY lang)",
     "swept": "SELECT lang, threshold, sum((score >= threshold AND label = 1)::INT) AS tp, sum((score >= threshold AND label = 0)::INT) AS fp, sum(label) AS p, sum(1 - label) AS n FROM twice, (SELECT unnest(range(5, 96, 5))::INT AS threshold) GROUP BY ALL",
     "rated": f"SELECT lang, threshold, {_round('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END', 6)} AS precision, {_round('CASE WHEN p > 0 THEN tp / p ELSE 0.0 END', 6)} AS recall, {_round('CASE WHEN tp + fp + p > 0 THEN 2 * tp / (2 * tp + fp + p - tp) ELSE 0.0 END', 6)} AS f1, {_round('CASE WHEN n > 0 THEN fp / n ELSE 0.0 END', 6)} AS fpr FROM swept",
 }
@@ -216,12 +217,46 @@ _FEATURES = {
 }
 
 
+def _split_long(text: str) -> str:
+    zh_units = f"length(regexp_replace({text}, '[^一-鿿A-Za-z0-9]', '', 'g'))"
+    commas = f"list_filter(range(0, length({text})), lambda i: substr({text}, (i + 1)::BIGINT, 1) = '，')"
+    best = f"list_sort(list_transform({commas}, lambda i: {{'d': abs(i - length({text}) * 0.45), 'i': i}}))[1].i"
+    zh = f"CASE WHEN {zh_units} >= 34 AND len({commas}) >= 2 AND {best} > 6 AND {best} < length({text}) - 6 THEN left({text}, ({best})::BIGINT) || '。' || substr({text}, ({best} + 2)::BIGINT) ELSE {text} END"
+    words = rf"len(regexp_extract_all({text}, '[^ \\t\\n\\x0B\\f\\r]+'))"
+    en = f"CASE WHEN {words} >= 26 AND position('; ' IN {text}) > 0 THEN left({text}, position('; ' IN {text}) - 1) || '. ' || substr({text}, position('; ' IN {text}) + 2) ELSE {text} END"
+    return f"(CASE WHEN kind = 'zh' THEN {zh} ELSE {en} END)"
+
+
+def _edits(mode: str) -> str:
+    """Changed sentences of papers."""
+    blank = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]"
+    trim = lambda t: f"regexp_replace(regexp_replace({t}, '^{blank}+', ''), '{blank}+$', '')"
+    styled = "coalesce(level <> 'low', false)" if mode != "dedup" else "false"
+    copied = "matched" if mode != "humanize" else "false"
+    swap = f"CASE WHEN kind = 'en' THEN {_fold('text', K.CLICHE_EN)} ELSE {_fold('text', K.CLICHE_ZH)} END"
+    same = f"CASE WHEN kind = 'en' THEN {_synonyms_en('t2')} ELSE {_synonyms_zh('t2')} END"
+    split = "true" if mode == "humanize" else "copied"
+    return f"""SELECT * FROM (SELECT *, {trim('t4')} AS new, list_filter([CASE WHEN text <> t1 THEN 'stock phrase' END, CASE WHEN t1 <> t2 THEN 'repeated opening' END, CASE WHEN t2 <> t3 THEN 'synonym' END, CASE WHEN t3 <> t4 THEN 'long sentence' END], lambda x: x IS NOT NULL) AS reasons
+      FROM (SELECT *, CASE WHEN {split} THEN {_split_long('t3')} ELSE t3 END AS t4 FROM (SELECT *, CASE WHEN copied THEN {same} ELSE t2 END AS t3
+      FROM (SELECT *, CASE WHEN styled AND o IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, styled, o ORDER BY idx) > 1 THEN substr(t1, length(o) + 1) ELSE t1 END AS t2
+      FROM (SELECT *, {_opener('t1')} AS o FROM (SELECT *, CASE WHEN styled THEN {swap} ELSE text END AS t1
+      FROM (SELECT r.doc_id, r.idx, r.start_pos, r.end_pos, r.text, r.kind, {styled} AS styled, {copied} AS copied FROM results r LEFT JOIN scores s USING (doc_id, start_pos)) WHERE styled OR copied))))))
+      WHERE new <> '' AND new <> {trim('text')}"""
+
+
+# the text before the last line that is a title of references; RE2 has no look-behind, so lines are counted
+_STRIP = r"""SELECT doc_id, regexp_replace(body, '[ \t\n\x0B\f\r]+$', '') AS body FROM (SELECT DISTINCT doc_id, text, regexp_extract(text,
+    '(?ms)\A(.*)^[ \t\n\x0B\f\r]*(?:参考文献|参[ \t\n\x0B\f\r]*考[ \t\n\x0B\f\r]*文[ \t\n\x0B\f\r]*献|致[ \t\n\x0B\f\r]*谢|References|REFERENCES|Bibliography)[ \t\n\x0B\f\r]*$', 1) AS body,
+    regexp_matches(text, '(?ms)^[ \t\n\x0B\f\r]*(?:参考文献|参[ \t\n\x0B\f\r]*考[ \t\n\x0B\f\r]*文[ \t\n\x0B\f\r]*献|致[ \t\n\x0B\f\r]*谢|References|REFERENCES|Bibliography)[ \t\n\x0B\f\r]*$') AS has FROM documents WHERE text IS NOT NULL) WHERE has"""
+
+
 def oracle_sql() -> dict[str, str]:
     trimmed = "regexp_replace({}, '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g')"
+    web_candidates = f"""SELECT doc_id, idx, place::INT AS place, kind, norm, units, CASE WHEN kind = 'zh' THEN substr(norm, 1, 16) ELSE array_to_string(list_slice(string_split(norm, ' '), 1, 10), ' ') END AS query
+          FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY units DESC, idx) AS place FROM results WHERE NOT matched AND CASE WHEN kind = 'zh' THEN length(norm) >= {K.WEB_MIN_CHARS} ELSE units >= {K.WEB_MIN_WORDS} END) WHERE place <= {K.WEB_COUNT}"""
     out = {
         "library_scan": "SELECT doc_id, title, is_builtin, length(text)::INT AS chars FROM lib",
         "point_lookup": "SELECT DISTINCT id, title, content FROM library_docs WHERE id = 42",
-        "strip_tags": "SELECT doc_id, title || ' &' AS title FROM lib",
         "inverted_abstract": "SELECT DISTINCT id AS doc_id, trim(regexp_replace(title, ' +', ' ', 'g')) AS text FROM library_docs WHERE title IS NOT NULL",
         "ingest_title_dedup": "SELECT doc_id, title FROM documents WHERE length(trim(title)) > 0 AND substr(trim(title), 1, 200) NOT IN (SELECT substr(trim(title), 1, 200) FROM library_docs WHERE title IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY substr(trim(title), 1, 200) ORDER BY doc_id) = 1",
         "upsert_latest": "SELECT DISTINCT id, CASE WHEN status = 'running' THEN 'stopped' ELSE status END AS status, fetched FROM crawl_jobs",
@@ -271,10 +306,44 @@ def oracle_sql() -> dict[str, str]:
         "aigc_final": "SELECT doc_id, total_rate FROM final",
         "aigc_paragraphs": f"""SELECT doc_id, paragraph::BIGINT AS paragraph, min(start_pos) AS start_pos, max(end_pos) AS end_pos, {_round(_round("avg(score)", 9), 1)} AS rate, sum((level = 'high')::INT)::BIGINT AS high_count, count(*)::BIGINT AS sentences
           FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start_pos) AS paragraph FROM (SELECT *, coalesce((start_pos - lag(end_pos) OVER (PARTITION BY doc_id ORDER BY start_pos) > {K.PARAGRAPH_GAP})::INT, 0) AS new FROM scores)) GROUP BY doc_id, paragraph""",
-        "web_candidates": f"""SELECT doc_id, idx, place::INT AS place, kind, norm, units, CASE WHEN kind = 'zh' THEN substr(norm, 1, 16) ELSE array_to_string(list_slice(string_split(norm, ' '), 1, 10), ' ') END AS query
-          FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY units DESC, idx) AS place FROM results WHERE NOT matched AND CASE WHEN kind = 'zh' THEN length(norm) >= {K.WEB_MIN_CHARS} ELSE units >= {K.WEB_MIN_WORDS} END) WHERE place <= {K.WEB_COUNT}""",
+        "web_candidates": web_candidates,
         "highlight_class": "SELECT r.doc_id, r.start_pos, CASE WHEN matched THEN 'dup' WHEN level = 'high' THEN 'machine' ELSE 'plain' END AS mark FROM results r LEFT JOIN scores s USING (doc_id, start_pos)",
-        "engine_outcomes": "SELECT doc_id, 'local' AS engine, 'ok' AS status, total_rate AS rate FROM final UNION ALL SELECT doc_id, e, s, NULL FROM final, (VALUES ('transformer', 'not_configured'), ('external', 'not_configured'), ('manual', 'manual')) v(e, s)",
+        "engine_outcomes": """SELECT f.doc_id, engine, CASE WHEN kind = 'local' THEN 'ok' WHEN kind IN ('experimental', 'manual') THEN kind WHEN kind = 'external' THEN 'not_configured' WHEN p IS NULL THEN 'error' ELSE 'ok' END AS status,
+          CASE WHEN kind = 'local' THEN total_rate WHEN kind = 'model' THEN floor(p * 1000 + 0.5) / 10 END AS rate
+          FROM (SELECT f.doc_id, total_rate, CASE WHEN length(text) % 2 = 0 THEN floor(length(text) % 1000 / 1000 * 1000 + 0.5) / 1000 END AS p FROM final f JOIN paper USING (doc_id)) f,
+          (VALUES ('local', 'local'), ('transformers', 'model'), ('watermark', 'experimental'), ('external-en', 'external'), ('external-zh', 'external'), ('manual', 'manual')) v(engine, kind)""",
+        "machine_bands": "SELECT doc_id, total_rate, CASE WHEN total_rate < 30 THEN 'low' WHEN total_rate < 60 THEN 'middle' ELSE 'high' END AS band FROM final",
+        "fragment_sources": """SELECT doc_id, fragment::BIGINT AS fragment, row_number() OVER (PARTITION BY doc_id, fragment ORDER BY hits DESC, met)::INT AS place, source_id, hits, sim
+          FROM (SELECT h.doc_id, h.fragment, m.doc_id AS source_id, count(*)::BIGINT AS hits, max(m.sim) AS sim, min(h.idx * 10 + place) AS met FROM hit h JOIN matches m ON m.paper_id = h.doc_id AND m.idx = h.idx GROUP BY ALL)""",
+        "simhash_pairs": f"SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.fp, b.fp))::INT AS distance FROM (SELECT fp, min(doc_id) AS id FROM prints GROUP BY fp) a JOIN (SELECT fp, min(doc_id) AS id FROM prints GROUP BY fp) b ON a.id < b.id WHERE bit_count(xor(a.fp, b.fp)) <= {K.VARIANT_BITS}",
+        "simhash_classes": "SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS class_id FROM prints",
+        "params_hash": """SELECT id, sha256('{"mode": "' || coalesce(json_extract_string(options_json, '$.mode'), 'full') || '", "strip_references": ' || coalesce(json_extract_string(options_json, '$.strip_references'), 'true')
+          || ', "web_check": ' || coalesce(json_extract_string(options_json, '$.web_check'), 'false') || ', "web_check_count": ' || coalesce(json_extract_string(options_json, '$.web_check_count'), '10') || '}') AS params_hash FROM (SELECT DISTINCT * FROM checks)""",
+        "submit_title": """SELECT doc_id, CASE WHEN length(trim(c.title)) > 0 THEN trim(c.title) WHEN length(text) % 3 = 0 THEN doc_id || '.v2' WHEN length(left(split_part(trim(text), chr(10), 1), 40)) > 0 THEN left(split_part(trim(text), chr(10), 1), 40) ELSE 'untitled' END AS title
+          FROM paper JOIN (SELECT DISTINCT id AS doc_id, title FROM checks) c USING (doc_id)""",
+        "url_guard": "SELECT DISTINCT id, CASE WHEN id % 5 <> 0 AND regexp_matches(source_url, '(?i)^https?://') THEN source_url ELSE '' END AS url FROM library_docs",
+        "crawl_sources": "SELECT id, source, greatest(20, least(m, target_count))::INT AS target FROM (SELECT DISTINCT id, source, target_count FROM crawl_jobs) LEFT JOIN (VALUES ('arxiv', 5000), ('openalex-en', 20000), ('openalex-zh', 20000), ('doaj', 10000), ('europepmc', 10000)) v(source, m) USING (source)".replace("greatest(20, least(m, target_count))::INT", "CASE WHEN m IS NOT NULL THEN greatest(20, least(m, target_count)) END::INT"),
+        "harvest_jobs": """SELECT source, count(*)::BIGINT AS fetched, sum(new)::BIGINT AS added FROM (SELECT *, sum(1 - new) OVER (PARTITION BY source ORDER BY nth) - (1 - new) AS known FROM (
+            SELECT *, CASE WHEN key NOT IN (SELECT left(trim(title), 200) FROM library_docs WHERE title IS NOT NULL) AND row_number() OVER (PARTITION BY source, key ORDER BY nth) = 1 THEN 1 ELSE 0 END AS new FROM (
+              SELECT source, left(trim(title), 200) AS key, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE length(trim(title)) > 0 QUALIFY nth <= 200))) WHERE known <= 20 GROUP BY source""",
+        "job_errors": """SELECT source, left(string_agg(message, '; ' ORDER BY nth DESC), 400) AS tail FROM (SELECT source, message, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, id DESC) AS nth
+            FROM (SELECT DISTINCT source, created_at, id, message FROM crawl_jobs WHERE message IS NOT NULL) QUALIFY nth <= 2) GROUP BY source""",
+        "library_parts": "SELECT doc_id, CASE WHEN is_builtin = 1 THEN 'builtin' ELSE 'user' END AS part FROM lib",
+        "check_listing": "SELECT id, title, status FROM (SELECT DISTINCT id, title, status, created_at FROM checks)",
+        "stage_progress": "SELECT id, CASE status WHEN 'done' THEN 100 WHEN 'error' THEN 100 END AS percent FROM (SELECT DISTINCT * FROM checks)",
+        "strip_references": _STRIP,
+        "html_extract": r"SELECT doc_id, trim(regexp_replace(text || ' ©', '[ \t\n\r\f\x{A0}]+', ' ', 'g')) AS text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)",
+        "strip_tags": r"SELECT doc_id, regexp_replace(title || ' &lt; €€', '^[ \t\n\x0B\f\r]+', '') AS title FROM lib",
+        "audit_json": """SELECT id, '{"ts":"' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '","event":"' || status || '"' || CASE WHEN title IS NULL THEN '' ELSE ',"title":' || to_json(left(title, 40))::VARCHAR END || '}' AS line FROM (SELECT DISTINCT * FROM checks)""",
+        "corpus_state_hash": "SELECT count(*)::BIGINT AS documents, sha256(count(*)::VARCHAR || '|' || sum(('0x' || substr(h, 1, 15))::BIGINT)::HUGEINT::VARCHAR || '|' || sum(('0x' || substr(h, 16, 15))::BIGINT)::HUGEINT::VARCHAR || '|' || sum(('0x' || substr(h, 31, 15))::BIGINT)::HUGEINT::VARCHAR) AS state FROM (SELECT sha256(doc_id || '|' || coalesce(title, '') || '|' || sha256(coalesce(text, ''))) AS h FROM lib)",
+        "doc_title": "SELECT doc_id, CASE WHEN length(f) > 0 THEN f ELSE 'untitled' END AS from_text, CASE WHEN length(trim(title)) > 0 THEN left(trim(title), 120) WHEN length(f) > 0 THEN f ELSE 'untitled' END AS given FROM (SELECT doc_id, title, left(split_part(trim(text), chr(10), 1), 60) AS f FROM lib)",
+        "rewrite_long_split": f"SELECT doc_id, idx, new FROM (SELECT *, {_split_long('text')} AS new FROM lib_all) WHERE new <> text",
+        "rewrite_segments": " UNION ALL ".join(f"SELECT doc_id, '{m}' AS mode, idx, new, array_to_string(reasons, ', ') AS reasons FROM ({_edits(m)})" for m in ("dedup", "humanize", "both")),
+        "rewrite_full": f"""SELECT p.doc_id, coalesce(string_agg(substr(p.text, from_ + 1, start_pos - from_) || new, '' ORDER BY start_pos), '') || substr(p.text, coalesce(max(end_pos), 0) + 1) AS text
+          FROM paper p LEFT JOIN (SELECT *, coalesce(lag(end_pos) OVER (PARTITION BY doc_id ORDER BY start_pos), 0) AS from_ FROM ({_edits("both")})) e USING (doc_id) GROUP BY p.doc_id, p.text""",
+        "sliding_events": "SELECT strftime(date_trunc('hour', ts) - to_hours(k), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS events FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL",
+        "session_events": """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+            SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
         "rate_attempts": "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW)::BIGINT AS attempts FROM events",
         "progress_changes": "SELECT user_id, event_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)",
         "progress_live": "SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-15' - INTERVAL 86400 SECONDS",
@@ -287,7 +356,44 @@ def oracle_sql() -> dict[str, str]:
         "eval_scores": "SELECT doc_id, lang, label, score FROM scored",
         "auroc": f"SELECT lang, {_round('won / (p * n)', 6)} AS auroc FROM (SELECT lang, sum(r * label) - sum(label) * (sum(label) + 1) / 2 AS won, sum(label) AS p, sum(1 - label) AS n FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS r FROM twice) GROUP BY lang)",
         "f1_sweep": "SELECT lang, threshold, precision, recall, f1, fpr FROM rated",
+        "eval_gates": f"SELECT 'auroc' AS gate, auroc AS value, 0.8::DOUBLE AS bound, auroc >= 0.8 AS passed FROM area WHERE lang = 'all' UNION ALL SELECT 'fpr_at_45', fpr, 0.4::DOUBLE, fpr <= 0.4 FROM rated WHERE lang = 'all' AND threshold = 45",
         "best_f1": "SELECT lang, threshold, f1 FROM rated QUALIFY row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, threshold) = 1",
         "eval_by_lang": f"SELECT coalesce(lang, 'all') AS lang, label, count(*)::BIGINT AS items, {_round('avg(score)', 4)} AS mean_score FROM scored GROUP BY GROUPING SETS ((lang, label), (label))",
     }
-    return out | {name: _with(sql, **_EVAL) for name, sql in evals.items()}
+    out |= {name: _with(sql, **_EVAL) for name, sql in evals.items()}
+    # rules that look back on their own outcomes, as recursive steps from one row of a group to the next
+    out["chunk_pack"] = _with(
+        "SELECT doc_id, chunk, sum(units)::BIGINT AS units, count(*)::INT AS sentences FROM packed GROUP BY doc_id, chunk",
+        packed=f"""SELECT doc_id, idx, units, units AS held, 0 AS chunk FROM lib_all WHERE idx = 0 UNION ALL
+          SELECT s.doc_id, s.idx, s.units, CASE WHEN held + s.units > {K.CHUNK_UNITS} THEN s.units ELSE held + s.units END, CASE WHEN held + s.units > {K.CHUNK_UNITS} THEN chunk + 1 ELSE chunk END
+          FROM packed p JOIN lib_all s ON s.doc_id = p.doc_id AND s.idx = p.idx + 1""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    events = "e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
+    fresh = "list_filter(log, lambda x: e.t - x < 86400000000)"
+    out["rate_limiter"] = f"""WITH RECURSIVE {events}, r AS (SELECT user_id, event_id, nth, [t] AS log, 1 AS admitted FROM e WHERE nth = 1 UNION ALL
+      SELECT e.user_id, e.event_id, e.nth, CASE WHEN len({fresh}) < 3 THEN list_append({fresh}, e.t) ELSE {fresh} END, (len({fresh}) < 3)::INT FROM r JOIN e ON e.user_id = r.user_id AND e.nth = r.nth + 1)
+      SELECT user_id, event_id, admitted FROM r"""
+    recent = f"list_append(list_filter(fails, lambda x: e.t - x < {K.FAIL_WINDOW_S}000000), e.t)"
+    banned = f"len({recent}) >= {K.FAIL_LIMIT}"
+    out["auth_bans"] = f"""WITH RECURSIVE {events}, r AS (SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS nth, []::BIGINT[] AS fails, 0::BIGINT AS until, '' AS state FROM e WHERE nth = 1 UNION ALL
+      SELECT e.user_id, e.event_id, e.nth,
+        CASE WHEN e.t < until THEN fails WHEN event_type = 'signup' THEN [] WHEN event_type <> 'error' THEN fails WHEN {banned} THEN [] ELSE {recent} END,
+        CASE WHEN e.t >= until AND event_type = 'error' AND {banned} THEN e.t + {K.BAN_S}000000 ELSE until END,
+        CASE WHEN e.t < until THEN 'banned' WHEN event_type = 'signup' THEN 'ok' WHEN event_type = 'error' THEN 'failed' ELSE 'none' END
+      FROM r JOIN e ON e.user_id = r.user_id AND e.nth = r.nth + 1) SELECT user_id, event_id, state FROM r WHERE nth > 0"""
+    least = f"CASE WHEN kind = 'zh' THEN {K.ZH_SIM_THRESHOLD} ELSE {K.EN_SIM_THRESHOLD} END"
+    out["web_verify"] = _with(
+        f"""SELECT doc_id, page_id, sum(units)::BIGINT AS units, count(*)::BIGINT AS hits, {_round("sum(units) / greatest(any_value(total_units), 1) * 100", 1)} AS rate
+          FROM (SELECT c.doc_id, c.idx, c.units, w.page_id, total_units FROM wanted c JOIN wbest w USING (kind, norm) JOIN totals USING (doc_id)
+            QUALIFY row_number() OVER (PARTITION BY c.doc_id, c.idx ORDER BY w.sim DESC, w.page_id) = 1) GROUP BY doc_id, page_id""",
+        wanted=web_candidates,
+        pages=f"SELECT DISTINCT doc_id, substr(text, 1, {K.WEB_PAGE_CHARS}) AS text FROM documents WHERE text IS NOT NULL",
+        psents=_sentences("(SELECT doc_id, text FROM pages)"),
+        wsh=f"SELECT kind, norm, len(sh) AS nq, unnest(sh) AS shingle FROM (SELECT kind, norm, {_shingles('norm', 'kind', 'units', 4)} AS sh FROM (SELECT DISTINCT kind, norm, units FROM wanted))",
+        psh=f"SELECT page_id, idx, kind, len(sh) AS nc, unnest(sh) AS shingle FROM (SELECT doc_id AS page_id, idx, kind, {_shingles('norm', 'kind', 'units')} AS sh FROM psents WHERE units >= 6)",
+        wmet="SELECT q.kind, q.norm, p.page_id, p.idx, count(*) / least(any_value(nq), any_value(nc)) AS s FROM wsh q JOIN psh p ON q.kind = p.kind AND q.shingle = p.shingle GROUP BY ALL",
+        whole_pages=f"SELECT doc_id AS page_id, kind, {_norm('text', 'kind')} AS page_norm FROM pages, (VALUES ('zh'), ('en')) v(kind)",
+        wbest=f"""SELECT kind, norm, page_id, max(sim) AS sim FROM (SELECT kind, norm, page_id, {_round('s', 4)} AS sim FROM wmet WHERE {_round('s', 4)} >= {least} UNION ALL
+          SELECT q.kind, q.norm, page_id, 1.0 FROM (SELECT DISTINCT kind, norm FROM wanted WHERE length(norm) >= {K.WEB_MIN_CHARS}) q JOIN whole_pages w ON q.kind = w.kind AND contains(page_norm, q.norm)) GROUP BY ALL""",
+    )
+    return out

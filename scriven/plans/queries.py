@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..operators import aigc, chunks, evaluate, index, lm, records, report, rewrite, similarity, web
+from ..operators import aigc, chunks, engines, evaluate, index, lm, records, report, rewrite, similarity, web
 from ..session import spread, stored, table
+from ..sources import harvest
 from ..streaming import stateful
 from .check import Check, library, papers
 
@@ -71,13 +72,13 @@ def strip_references(spark, sf):
 def html_extract(spark, sf):
     page = F.concat(F.lit("<html><head><title>x</title></head><body><script>var a;</script><p>"), T.escape_html(F.col("text")), F.lit("</p> &copy;</body></html>"))
     docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", page.alias("html"))
-    return docs.select("doc_id", T.html_text(F.replace("html", F.lit("&#x27;"), F.lit("&#39;"))).alias("text"))
+    return docs.select("doc_id", T.html_text(F.col("html")).alias("text"))
 
 
 @query
 def strip_tags(spark, sf):
-    t = F.concat(F.lit("<b>"), F.col("title"), F.lit("</b> <i>&amp;</i>"))
-    return _docs(spark, sf).select("doc_id", F.replace(F.regexp_replace(t, "<[^>]+>", ""), F.lit("&amp;"), F.lit("&")).alias("title"))
+    t = F.concat(F.lit(" <b>"), T.escape_html(F.col("title")), F.lit("</b> <i class='x'>&amp;lt; &#8364;&#x20AC;</i>"))
+    return _docs(spark, sf).select("doc_id", T.strip_tags(t).alias("title"))
 
 
 @query
@@ -442,12 +443,16 @@ def highlight_class(spark, sf):
 
 @query
 def rewrite_full(spark, sf):
-    return _check(spark, sf).rewritten
+    c = _check(spark, sf)
+    return c.rewritten(c.edits())
 
 
 @query
 def rewrite_delta(spark, sf):
-    return _check(spark, sf).rewrite_delta()
+    """Both rates before and after rewriting, in each mode."""
+    c = _check(spark, sf)
+    parts = [c.rewrite_delta(mode) for mode in rewrite.MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query
@@ -462,11 +467,107 @@ def report_html(spark, sf):
 
 @query
 def engine_outcomes(spark, sf):
-    """Every engine's outcome per paper: the local one, and those that need a key, a model or a person."""
-    local = _check(spark, sf).machine_rates.select("doc_id", F.lit("local").alias("engine"), F.lit("ok").alias("status"), F.col("total_rate").alias("rate"))
-    rest = F.array(*[F.struct(F.lit(e).alias("engine"), F.lit(s).alias("status")) for e, s in (("transformer", "not_configured"), ("external", "not_configured"), ("manual", "manual"))])
-    others = local.select("doc_id", F.explode(rest).alias("e")).select("doc_id", "e.engine", "e.status")
-    return local.unionByName(others, allowMissingColumns=True)
+    """Every engine's outcome per paper; the model engine answers for papers with an even number of characters, and fails for the others."""
+    c = _check(spark, sf)
+    answers = c.papers.select("doc_id", F.when(F.length("text") % 2 == 0, T.rounded(F.length("text") % 1000 / 1000.0, 3)).alias("probability"))
+    return engines.outcomes(c.machine_rates, model=answers).select("doc_id", "engine", "status", "rate")
+
+
+@query
+def machine_bands(spark, sf):
+    return _check(spark, sf).machine_rates.select("doc_id", "total_rate", report.machine_band("total_rate").alias("band"))
+
+
+@query
+def fragment_sources(spark, sf):
+    c = _check(spark, sf)
+    return report.fragment_sources(c.results, c.matches)
+
+
+@query
+def simhash_pairs(spark, sf):
+    """Pairs of classes of near fingerprints; ``simhash_classes`` has the members."""
+    return index.simhash_pairs(stored(index.simhash(_docs(spark, sf))))
+
+
+@query
+def simhash_classes(spark, sf):
+    return index.simhash_classes(stored(index.simhash(_docs(spark, sf))))
+
+
+@query
+def eval_gates(spark, sf):
+    s = evaluate.with_all(_scored(spark, sf), "lang")
+    return evaluate.gates(evaluate.auroc(s, "lang"), evaluate.sweep(s, "lang"), "lang")
+
+
+@query
+def params_hash(spark, sf):
+    return _checks(spark, sf).select("id", records.params_key(F.col("options_json")).alias("params_hash"))
+
+
+@query
+def submit_title(spark, sf):
+    """Titles of papers as submitted: given, from a file's name, or from the text."""
+    rows = _papers(spark, sf).join(_checks(spark, sf).select(F.col("id").alias("doc_id"), "title").distinct(), "doc_id")
+    file = F.when(F.length("text") % 3 == 0, F.concat(F.lit("/up/"), "doc_id", F.lit(".v2.docx")))
+    return rows.select("doc_id", T.submit_title(F.col("text"), F.col("title"), file).alias("title"))
+
+
+@query
+def url_guard(spark, sf):
+    rows = table(spark, sf, "library_docs").select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("ftp://"), "source_url")).otherwise(F.col("source_url")).alias("url")).distinct()
+    return rows.select("id", T.safe_url(F.col("url")).alias("url"))
+
+
+@query
+def crawl_sources(spark, sf):
+    """Harvest jobs with their target within the limits of their source."""
+    jobs = table(spark, sf, "crawl_jobs").select("id", "source", "target_count").distinct()
+    return harvest.clamped(jobs, harvest.sources(spark)).select("id", "source", "target")
+
+
+@query
+def harvest_jobs(spark, sf):
+    """One harvest of at most 200 documents per source, ended after 20 known titles."""
+    library = table(spark, sf, "library_docs").where("title IS NOT NULL").select("title")
+    return records.harvest(table(spark, sf, "documents").where("title IS NOT NULL"), library, 200, 20)
+
+
+@query
+def job_errors(spark, sf):
+    """The last messages of every source's jobs."""
+    jobs = table(spark, sf, "crawl_jobs").where("message IS NOT NULL").select("source", "created_at", "id", "message").distinct()
+    newest = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("created_at"), F.desc("id")))
+    last = jobs.withColumn("nth", newest).where("nth <= 2").groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("nth")).alias("n"), "message"))).alias("m"))
+    return last.select("source", records.error_tail(F.transform("m", lambda x: x["message"])).alias("tail"))
+
+
+@query
+def library_parts(spark, sf):
+    return _docs(spark, sf).select("doc_id", records.library_part(F.col("is_builtin")).alias("part"))
+
+
+@query
+def check_listing(spark, sf):
+    """Checks, newest first."""
+    return _checks(spark, sf).select("id", "title", "status", "created_at").distinct().orderBy(F.desc("created_at"), "id").select("id", "title", "status")
+
+
+@query
+def stage_progress(spark, sf):
+    return _checks(spark, sf).select("id", stateful.stage_percent(F.col("status")).alias("percent"))
+
+
+@query
+def rewrite_segments(spark, sf):
+    """Changed sentences in each mode, with the reasons."""
+    c = _check(spark, sf)
+    out = None
+    for mode in rewrite.MODES:
+        part = c.edits(mode).select("doc_id", F.lit(mode).alias("mode"), "idx", "new", F.array_join("reasons", ", ").alias("reasons"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # ---- event streams ----
@@ -505,3 +606,13 @@ def progress_live(spark, sf):
 @query
 def hourly_events(spark, sf):
     return stateful.hourly(_events(spark, sf)).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def sliding_events(spark, sf):
+    return stateful.sliding(_events(spark, sf)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def session_events(spark, sf):
+    return stateful.sessions(_events(spark, sf)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

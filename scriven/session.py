@@ -57,9 +57,23 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes the tables that this program has stored so far; their number. Results that were not read yet are lost."""
+    for path in _STORED:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    n = len(_STORED)
+    _STORED.clear()
+    return n
+
+
 _SHIPPED: set[str] = set()
 
 

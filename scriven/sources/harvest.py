@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Shortest abstract that is kept.
 MIN_ABSTRACT = 80
 
-# fixed values: sources, with the target counts that a job may ask for
-SOURCES = {"arxiv": (20, 2000), "openalex": (20, 2000), "doaj": (20, 2000), "europepmc": (20, 2000)}
+#: Least number of documents a job may ask for.
+MIN_TARGET = 20
+# fixed values: (key, name, region, languages, default query, greatest target) of the sources
+SOURCES = (
+    ("arxiv", "arXiv", "international", "en", "cat:cs.CL OR cat:cs.AI", 5000),
+    ("openalex-en", "OpenAlex", "international", "en", "", 20000),
+    ("openalex-zh", "OpenAlex", "domestic", "zh", "", 20000),
+    ("doaj", "DOAJ", "international and domestic", "many", "*", 10000),
+    ("europepmc", "Europe PMC", "international", "en", "", 10000),
+)
+_MOST = {s[0]: s[5] for s in SOURCES}
+
+
+def sources(spark: SparkSession) -> DataFrame:
+    """(key, name, region, langs, default_query, max_target) of the sources that can be harvested."""
+    return spark.createDataFrame(list(SOURCES), "key string, name string, region string, langs string, default_query string, max_target int")
 
 
 def clamp_target(source: str, target: int) -> int:
-    low, high = SOURCES[source]
-    return max(low, min(high, target))
+    return max(MIN_TARGET, min(_MOST[source], target))
+
+
+def clamped(jobs: DataFrame, registry: DataFrame) -> DataFrame:
+    """``jobs`` (source, target_count, ...) with ``target``: within the limits of the source; jobs of other sources have none."""
+    most = registry.select(F.col("key").alias("source"), "max_target")
+    target = F.greatest(F.lit(MIN_TARGET), F.least("max_target", "target_count"))
+    return jobs.join(F.broadcast(most), "source", "left").withColumn("target", F.when(F.col("max_target").isNotNull(), target)).drop("max_target")
+
+
+def seeds(spark: SparkSession, path: str, library: DataFrame) -> DataFrame:
+    """(title, content, is_builtin, origin): the seed documents of JSON arrays [{title, content}] under ``path``, if the library is empty.
+
+    ``origin`` is the file's name; entries without content are left out.
+    """
+    rows = spark.read.schema("title string, content string").option("multiLine", True).json(path)
+    rows = rows.select("title", "content", F.lit(1).alias("is_builtin"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("origin"))
+    rows = rows.where(F.length("content") > 0)
+    return rows if library.limit(1).count() == 0 else rows.limit(0)
 
 
 def _squeeze(c: str | Column) -> Column:
@@ -57,4 +88,4 @@ def europepmc(answers: DataFrame) -> DataFrame:
 
 
 #: Adapters by source.
-ADAPTERS = {"arxiv": arxiv, "openalex": openalex, "doaj": doaj, "europepmc": europepmc}
+ADAPTERS = {"arxiv": arxiv, "openalex-en": openalex, "openalex-zh": openalex, "doaj": doaj, "europepmc": europepmc}

@@ -187,7 +187,7 @@ def test_harvest(spark):
     assert [tuple(r) for r in harvest.doaj(spark.createDataFrame([(article,)], "json string")).collect()] == [("D", words, "yes")]
     result = '{"id": "1", "source": "MED", "title": "<i>E</i>", "abstractText": "' + words + '"}'
     assert [tuple(r) for r in harvest.europepmc(spark.createDataFrame([(result,)], "json string")).collect()] == [("E", words, "https://europepmc.org/article/MED/1")]
-    assert harvest.clamp_target("arxiv", 5) == 20 and harvest.clamp_target("doaj", 10**6) == 2000
+    assert harvest.clamp_target("arxiv", 5) == 20 and harvest.clamp_target("doaj", 10**6) == 10_000
 
 
 def test_limiter():
