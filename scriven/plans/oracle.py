@@ -322,7 +322,7 @@ def oracle_sql() -> dict[str, str]:
         "submit_title": """SELECT doc_id, CASE WHEN length(trim(c.title)) > 0 THEN trim(c.title) WHEN length(text) % 3 = 0 THEN doc_id || '.v2' WHEN length(left(split_part(trim(text), chr(10), 1), 40)) > 0 THEN left(split_part(trim(text), chr(10), 1), 40) ELSE 'untitled' END AS title
           FROM paper JOIN (SELECT DISTINCT id AS doc_id, title FROM checks) c USING (doc_id)""",
         "url_guard": "SELECT DISTINCT id, CASE WHEN id % 5 <> 0 AND regexp_matches(source_url, '(?i)^https?://') THEN source_url ELSE '' END AS url FROM library_docs",
-        "crawl_sources": "SELECT id, source, greatest(20, least(m, target_count))::INT AS target FROM (SELECT DISTINCT id, source, target_count FROM crawl_jobs) LEFT JOIN (VALUES ('arxiv', 5000), ('openalex-en', 20000), ('openalex-zh', 20000), ('doaj', 10000), ('europepmc', 10000)) v(source, m) USING (source)".replace("greatest(20, least(m, target_count))::INT", "CASE WHEN m IS NOT NULL THEN greatest(20, least(m, target_count)) END::INT"),
+        "crawl_sources": "SELECT id, source, greatest(20, least(m, target_count))::INT AS target FROM (SELECT DISTINCT id, source, target_count FROM crawl_jobs) LEFT JOIN (VALUES ('arxiv', 5000), ('openalex-en', 20000), ('openalex-zh', 20000), ('doaj', 10000), ('europepmc', 10000)) v(source, m) USING (source)".replace("greatest(20, least(m, target_count))::INT", "CASE WHEN m IS NOT NULL THEN greatest(20, least(m, target_count)) ELSE 0 END::INT"),
         "harvest_jobs": """SELECT source, count(*)::BIGINT AS fetched, sum(new)::BIGINT AS added FROM (SELECT *, sum(1 - new) OVER (PARTITION BY source ORDER BY nth) - (1 - new) AS known FROM (
             SELECT *, CASE WHEN key NOT IN (SELECT left(trim(title), 200) FROM library_docs WHERE title IS NOT NULL) AND row_number() OVER (PARTITION BY source, key ORDER BY nth) = 1 THEN 1 ELSE 0 END AS new FROM (
               SELECT source, left(trim(title), 200) AS key, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE length(trim(title)) > 0 QUALIFY nth <= 200))) WHERE known <= 20 GROUP BY source""",
@@ -330,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DISTINCT source, created_at, id, message FROM crawl_jobs WHERE message IS NOT NULL) QUALIFY nth <= 2) GROUP BY source""",
         "library_parts": "SELECT doc_id, CASE WHEN is_builtin = 1 THEN 'builtin' ELSE 'user' END AS part FROM lib",
         "check_listing": "SELECT id, title, status FROM (SELECT DISTINCT id, title, status, created_at FROM checks)",
-        "stage_progress": "SELECT id, CASE status WHEN 'done' THEN 100 WHEN 'error' THEN 100 END AS percent FROM (SELECT DISTINCT * FROM checks)",
+        "stage_progress": "SELECT id, CASE status WHEN 'done' THEN 100 WHEN 'error' THEN 100 ELSE 0 END AS percent FROM (SELECT DISTINCT * FROM checks)",
         "strip_references": _STRIP,
         "html_extract": r"SELECT doc_id, trim(regexp_replace(text || ' ©', '[ \t\n\r\f\x{A0}]+', ' ', 'g')) AS text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)",
         "strip_tags": r"SELECT doc_id, regexp_replace(title || ' &lt; €€', '^[ \t\n\x0B\f\r]+', '') AS title FROM lib",

@@ -524,7 +524,7 @@ def url_guard(spark, sf):
 def crawl_sources(spark, sf):
     """Harvest jobs with their target within the limits of their source."""
     jobs = table(spark, sf, "crawl_jobs").select("id", "source", "target_count").distinct()
-    return harvest.clamped(jobs, harvest.sources(spark)).select("id", "source", "target")
+    return harvest.clamped(jobs, harvest.sources(spark)).select("id", "source", F.coalesce("target", F.lit(0)).alias("target"))
 
 
 @query
@@ -556,7 +556,7 @@ def check_listing(spark, sf):
 
 @query
 def stage_progress(spark, sf):
-    return _checks(spark, sf).select("id", stateful.stage_percent(F.col("status")).alias("percent"))
+    return _checks(spark, sf).select("id", F.coalesce(stateful.stage_percent(F.col("status")), F.lit(0)).alias("percent"))
 
 
 @query
