@@ -39,7 +39,7 @@ SHRINK = 4.0
 #: Confidence that a longer pattern must add to its parts.
 GAIN = 0.05
 #: Groups that terms are dealt to; a sentence goes to at most so many.
-GROUPS = 16
+GROUPS = 8
 
 _RUN = re.compile(r"[ก-๛]+|[ぁ-ヿ㐀-鿿々]+|[^\W\d_ก-๛ぁ-ヿ㐀-鿿々]+|\d+")
 _ASCII_RUN = re.compile(r"[a-z]+|[0-9]+")
