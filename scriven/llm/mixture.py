@@ -115,7 +115,7 @@ def mix(docs: DataFrame, targets: DataFrame, shortfall: float = SHORTFALL) -> Da
     rows = stored(rows.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("max_repeats"), copies)).cast("int")))
     left = rows.groupBy("source").agg((F.max("demand") - F.sum(F.col("copies") * F.col("n_tokens"))).alias("left"), F.min("copies").alias("least"))
     left = stored(left.where("left >= 1"))
-    others = rows.join(left, "source").where("copies = least AND copies < max_repeats").select("source", "doc_id", "n_tokens", "left")
+    others = rows.join(left, "source").where("copies = least AND copies < max_repeats").select("source", "doc_id", "n_tokens", "copies", "left")
     fits = others.where("n_tokens <= left")
     last = fits.groupBy("source").agg((F.avg("n_tokens") * LAST).alias("last"))
     fits = stored(_with_offset(fits, buckets).join(last, "source").withColumn("end", F.col("offset") + F.col("n_tokens")))
@@ -124,20 +124,21 @@ def mix(docs: DataFrame, targets: DataFrame, shortfall: float = SHORTFALL) -> Da
     open_ = left.join(used, "source", "left").select("source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("open"))
     # the first FILLERS of each source: at most so many rows for each row of the targets
     nth = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
-    some = others.drop("left").join(taken.select("source", "doc_id"), ["source", "doc_id"], "left_anti").join(open_, "source").where("n_tokens <= 2 * open")
-    some = some.withColumn("nth", nth).where(F.col("nth") <= FILLERS).select("source", "doc_id", "n_tokens", "open").collect()
+    cols = ["source", "doc_id", "n_tokens", "copies"]
+    some = fits.where("end > left - last").select(cols).unionByName(others.where("n_tokens > left").select(cols))
+    some = some.join(open_, "source").where("n_tokens <= 2 * open").withColumn("nth", nth).where(F.col("nth") <= FILLERS).select(*cols, "open").collect()
     chosen: list[tuple] = []
     for source in sorted({r.source for r in some}):
         rows_ = sorted((r for r in some if r.source == source), key=lambda r: (r.n_tokens, str(r.doc_id)))
         rest = rows_[0].open
         for k in nearest_sum([r.n_tokens for r in rows_], rest):
-            chosen.append((source, rows_[k].doc_id, rows_[k].n_tokens, float(rest)))
+            chosen.append((source, rows_[k].doc_id, rows_[k].n_tokens, rows_[k].copies, float(rest)))
             rest -= rows_[k].n_tokens
     kind = rows.schema["doc_id"].dataType.simpleString()
     size = rows.schema["n_tokens"].dataType.simpleString()
-    ends = rows.sparkSession.createDataFrame(chosen, f"source string, doc_id {kind}, n_tokens {size}, left double")
-    filled = taken.select("source", "doc_id", "n_tokens", (F.col("left") - F.col("offset")).alias("left")).unionByName(ends)
-    more = filled.join(plans, "source").join(rows.select("source", "doc_id", "copies"), ["source", "doc_id"])
+    ends = rows.sparkSession.createDataFrame(chosen, f"source string, doc_id {kind}, n_tokens {size}, copies int, left double")
+    filled = taken.select(*cols, (F.col("left") - F.col("offset")).alias("left")).unionByName(ends)
+    more = filled.join(plans, "source")
     more = more.withColumn("copy", F.col("copies") + 1).withColumn("start", F.col("demand") - F.col("left"))
     whole = rows.withColumn("copy", F.explode(F.when(F.col("copies") >= 1, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>"))))
     whole = whole.withColumn("start", F.col("offset") + (F.col("copy") - 1) * F.col("size"))
