@@ -16,13 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan with at least one partition per core.
+    """A plain scan with at least one partition per core, if it is far from that.
 
     A small file is one input split, so everything up to the first shuffle
-    would run in one task. Scans that already fill the cores stay as they are.
+    would run in one task. Scans that fill a quarter of the cores stay as they
+    are: moving all their rows would cost more than idle cores do.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if 4 * scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
 
 
 def by_key(scan: DataFrame, key: str) -> DataFrame:
