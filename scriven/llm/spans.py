@@ -51,14 +51,26 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+_POWERS: list[np.ndarray] = []  # built once per process, longer ones when a longer text comes: powers of the root, and of its inverse
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(1 << 16, 1 << n.bit_length())
+        with np.errstate(over="ignore"):
+            for k, root in enumerate((int(_ROOT), _inverse(int(_ROOT)))):
+                powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, root, np.uint64)]), dtype=np.uint64)
+                _POWERS[k : k + 1] = [powers]
+    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
+
+
 class Hashes:
     """Hashes of all substrings of fixed lengths of a row of characters."""
 
     def __init__(self, codes: np.ndarray):
         n = len(codes)
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _ROOT, np.uint64)]), dtype=np.uint64)
-            self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _inverse(int(_ROOT)), np.uint64)]), dtype=np.uint64)
+            power, self.back = _powers(n)
             self.sums = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)])
 
     def of(self, length: int, salt: int) -> np.ndarray:
@@ -116,18 +128,19 @@ def shared_runs(a: str, b: str, least: int = LEAST, seed: int = SEED, short: boo
     diagonal is nearest to that of the run before, or the first if it reaches further. So runs and work are
     linear in the texts however often they repeat themselves.
     """
-    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
-    x, y = Hashes(x).of(least, 3), Hashes(y).of(least, 3)
+    w = Windows([a, b], least, seed) if short else None
+    hashes = w.hashes if w else Hashes(np.frombuffer((a + b).encode("utf-32-le", "surrogatepass"), np.uint32))
+    whole = hashes.of(least, 3)
+    # without the windows that run from one text into the other
+    x, y = whole[: max(0, len(a) - least + 1)], whole[len(a) :]
     runs: set[tuple[int, int, int]] = set()
     _one_side(a, b, np.arange(len(x)), x, np.arange(len(y)), y, least, runs, False)
     _one_side(b, a, np.arange(len(y)), y, np.arange(len(x)), x, least, runs, True)
-    if short:
-        w = Windows([a, b], least, seed)
-        if len(w.places):
-            cut = np.searchsorted(w.places, len(a))
-            p, q = w.places[:cut], w.places[cut:] - len(a)
-            _one_side(a, b, p, w.seeds[:cut], q, w.seeds[cut:], seed, runs, False)
-            _one_side(b, a, q, w.seeds[cut:], p, w.seeds[:cut], seed, runs, True)
+    if w and len(w.places):
+        cut = np.searchsorted(w.places, len(a))
+        p, q = w.places[:cut], w.places[cut:] - len(a)
+        _one_side(a, b, p, w.seeds[:cut], q, w.seeds[cut:], seed, runs, False)
+        _one_side(b, a, q, w.seeds[cut:], p, w.seeds[:cut], seed, runs, True)
     return sorted(runs)
 
 
