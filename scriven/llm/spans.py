@@ -134,26 +134,30 @@ def shared_runs(a: str, b: str, least: int = LEAST, seed: int = SEED, short: boo
     # without the windows that run from one text into the other
     x, y = whole[: max(0, len(a) - least + 1)], whole[len(a) :]
     runs: set[tuple[int, int, int]] = set()
-    _one_side(a, b, np.arange(len(x)), x, np.arange(len(y)), y, least, runs, False)
-    _one_side(b, a, np.arange(len(y)), y, np.arange(len(x)), x, least, runs, True)
+    # what the first side finds nothing of, the second need not look for
+    if _one_side(a, b, np.arange(len(x)), x, np.arange(len(y)), y, least, runs, False):
+        _one_side(b, a, np.arange(len(y)), y, np.arange(len(x)), x, least, runs, True)
     if w and len(w.places):
         cut = np.searchsorted(w.places, len(a))
         p, q = w.places[:cut], w.places[cut:] - len(a)
-        _one_side(a, b, p, w.seeds[:cut], q, w.seeds[cut:], seed, runs, False)
-        _one_side(b, a, q, w.seeds[cut:], p, w.seeds[:cut], seed, runs, True)
+        if _one_side(a, b, p, w.seeds[:cut], q, w.seeds[cut:], seed, runs, False):
+            _one_side(b, a, q, w.seeds[cut:], p, w.seeds[:cut], seed, runs, True)
     return sorted(runs)
 
 
-def _one_side(s: str, t: str, p: np.ndarray, hp: np.ndarray, q: np.ndarray, hq: np.ndarray, size: int, runs: set[tuple[int, int, int]], turned: bool) -> None:
-    """Adds a run for each stretch of ``size`` characters of s, at places p with hashes hp, that t holds at a place of q and no run of s covers."""
+def _one_side(s: str, t: str, p: np.ndarray, hp: np.ndarray, q: np.ndarray, hq: np.ndarray, size: int, runs: set[tuple[int, int, int]], turned: bool) -> bool:
+    """Adds a run for each stretch of ``size`` characters of s, at places p with hashes hp, that t holds at a place of q and no run of s covers.
+
+    Whether the two have any hash in common.
+    """
     if not len(p) or not len(q):
-        return
+        return False
     order = np.argsort(hq, kind="stable")
     sorted_q, places = hq[order], q[order]
     low = np.searchsorted(sorted_q, hp)
     met = np.flatnonzero(sorted_q[np.minimum(low, len(sorted_q) - 1)] == hp)
     if not len(met):
-        return
+        return False
     high = np.searchsorted(sorted_q, hp[met], "right")
     covers = sorted((j, j + n) if turned else (i, i + n) for i, j, n in runs)
     at, covered, diagonal, k = 0, -1, 0, 0
@@ -180,6 +184,7 @@ def _one_side(s: str, t: str, p: np.ndarray, hp: np.ndarray, q: np.ndarray, hq:
             runs.add((there - back, here - back, back + n) if turned else (here - back, there - back, back + n))
             covered, diagonal = max(covered, here + n), there - here
         k += 1
+    return True
 
 
 def _common(a: str, b: str, p: int, q: int, way: int) -> int:
