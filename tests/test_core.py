@@ -370,7 +370,7 @@ def _sql_names():
     steps = (
         "aigc_doc_score aigc_features aigc_paragraphs best_f1 blended_similarity corpus_stats detect_language eval_by_lang eval_scores f1_sweep "
         "highlight_class incremental_index index_remove library_listing library_parts library_scan lm_counts lm_doc_burst machine_bands normalize_text "
-        "point_lookup quoted_units recall_candidates rewrite_cliches rewrite_synonyms sentence_units source_counts source_totals web_candidates web_query word_count"
+        "aigc_sentence_scores engine_outcomes eval_gates lm_sentence_stats source_variants point_lookup quoted_units recall_candidates rewrite_cliches rewrite_synonyms sentence_units source_counts source_totals web_candidates web_query word_count"
     )
     return sorted(set(oracle.oracle_sql()) - set(steps.split()))
 
