@@ -92,6 +92,34 @@ def test_find_similar(spark):
     assert similarity.find_similar(asked, sents.where("false"), docs.where("false")).count() == 0
 
 
+def test_overlap_in_small_blocks_with_templates(spark, tmp_path, monkeypatch):
+    """Whatever is cut, the best documents are those of a plain walk: blocks, portions of pairs, template shingles, documents across blocks."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from scriven.operators import overlap
+
+    rng = random.Random(5)
+    words, frame = [f"w{k}" for k in range(40)], [f"f{k}" for k in range(12)]
+    line = lambda: " ".join([*frame[: rng.choice((0, 7, 9, 12))], *(rng.choice(words) for _ in range(rng.randint(0, 9)))])
+    base = [line() for _ in range(60)]
+    library = [(d, i, rng.choice(base) if rng.random() < 0.5 else line()) for d in range(90) for i in range(5)]
+    query = [(k, rng.choice(base) if rng.random() < 0.5 else line()) for k in range(60)]
+    query = list({t: (k, t) for k, t in query if len(t.split()) >= 6}.values())
+    batch = lambda rows: overlap.digests([t for *_, t in rows], ["en"] * len(rows), np.array([len(t.split()) for *_, t in rows]))
+    d, sizes = batch(library)
+    each = np.split(d, np.cumsum(sizes)[:-1])
+    held = pa.table({"doc_id": pa.array([x for x, _, _ in library], pa.int64()), "idx": pa.array([i for _, i, _ in library], pa.int32()), "shingles": pa.array([x.tobytes() for x in each], pa.binary())})
+    pq.write_table(held, tmp_path / "part-0.parquet")
+    asked, n = batch(query)
+    want = sorted(find_plainly(query, [(d, i, t) for d, i, t in library]))
+    for least, share, sentences, hits in ((500, 0.002, 20_000, 10**6), (3, 0.0, 7, 50), (20, 0.0, 33, 1)):
+        for name, value in (("LEAST", least), ("SHARE", share), ("SENTENCES", sentences), ("HITS", hits)):
+            monkeypatch.setattr(overlap, name, value)
+        got = overlap._Queries(np.array([k for k, _ in query]), np.zeros(len(query), bool), asked, n, 90).best(str(tmp_path))
+        assert sorted(tuple(r.values()) for r in got.to_pylist()) == want and want
+
+
 def test_fragments_and_rates(spark):
     """Matched 1 0 1 is one fragment, 1 0 0 1 two; citations count apart."""
     pattern = "1011001" + "0"
