@@ -343,6 +343,15 @@ def test_simhash_pairs_equal_brute_force(spark):
     assert index.simhash_pairs(df.where("false")).count() == 0
 
 
+def test_simhash_pairs_write_no_lookups(spark):
+    """Lookups of fingerprints are not rows: the plan of the pairs neither explodes nor exchanges anything."""
+    df = spark.createDataFrame([(1, 5), (2, 7), (3, 5), (4, -1)], "doc_id bigint, fingerprint bigint")
+    pairs = index.simhash_pairs(df)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 1)]
+
+
 def test_snapshot_is_read_until_the_collection_changes(spark, tmp_path):
     import os
 
