@@ -120,6 +120,37 @@ def test_overlap_in_small_blocks_with_templates(spark, tmp_path, monkeypatch):
         assert sorted(tuple(r.values()) for r in got.to_pylist()) == want and want
 
 
+def test_similarities_are_counted_without_pairs(spark, tmp_path, monkeypatch):
+    """Counts of blended similarities are those of the table of pairs, whatever is cut and whichever shingles are a template's; the query has no such table."""
+    from scriven.operators import overlap
+    from scriven.plans import queries
+
+    rng = random.Random(6)
+    words, frame = [f"w{k}" for k in range(30)], [f"f{k}" for k in range(12)]
+    line = lambda: " ".join([*frame[: rng.choice((0, 7, 9, 12))], *(rng.choice(words) for _ in range(rng.randint(0, 9)))])
+    base = [line() for _ in range(50)]
+    text = lambda: " ".join((rng.choice(base) if rng.random() < 0.5 else line()) + "." for _ in range(6))
+    docs = spark.createDataFrame([(k, text()) for k in range(40)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(k, text()) for k in range(12)], "doc_id bigint, text string")
+    library, query = index.library_sentences(index.sentences(docs)), index.sentences(asked)
+    blend = T.rounded(F.least("containment", 0.5 + 0.5 * F.col("coverage")), 4)
+    want = {tuple(r) for r in similarity.candidates(query, library, docs).groupBy(blend.alias("sim")).agg(F.count("*").alias("pairs")).collect()}
+    assert want and {tuple(r) for r in overlap.similarities(query, library, docs).collect()} == want
+    # the same in one process, where blocks and portions are small
+    told = overlap.with_digests(library).withColumn("cid", index.norm_id(F.col("kind"), F.col("norm")))
+    told.coalesce(1).write.parquet(str(tmp_path / "told"))
+    (batch,) = overlap._classes(query).coalesce(1).toArrow().combine_chunks().to_batches()
+    for least, sentences, hits in ((3, 7, 50), (20, 33, 1)):
+        for name, value in (("LEAST", least), ("SHARE", 0.0), ("SENTENCES", sentences), ("HITS", hits)):
+            monkeypatch.setattr(overlap, name, value)
+        (block,) = overlap._held([batch])
+        q = overlap._Queries(*block, 40)
+        pairs = q.counts(str(tmp_path / "told"), overlap._leads(str(tmp_path / "told")))
+        assert len(q.heavy) and {(k / 10**4, n) for k, n in enumerate(pairs.tolist()) if n} == want
+    monkeypatch.setattr(similarity, "candidates", None)
+    assert queries.queries()["blended_similarity"](spark, "/root/testdata/sf0.001").count()
+
+
 def test_fragments_and_rates(spark):
     """Matched 1 0 1 is one fragment, 1 0 0 1 two; citations count apart."""
     pattern = "1011001" + "0"
