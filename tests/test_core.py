@@ -151,6 +151,22 @@ def test_similarities_are_counted_without_pairs(spark, tmp_path, monkeypatch):
     assert queries.queries()["blended_similarity"](spark, "/root/testdata/sf0.001").count()
 
 
+def test_check_writes_the_library_once(spark, monkeypatch):
+    """Sentences and digests of a library are one stored table without texts, and the checks that rewriting makes share it."""
+    from scriven.operators import overlap
+    from scriven.plans.check import Check
+
+    text = "This study shows significant results and numerous individuals use new methods to obtain the quality of research every year. "
+    docs = spark.createDataFrame([(1, "t", text * 2, 0), (2, "u", text + "Filler words make this document longer than others are. ", 0)], "doc_id bigint, title string, text string, is_builtin int")
+    c = Check(docs, spark.createDataFrame([("p", text)], "doc_id string, text string"))
+    monkeypatch.setattr(overlap, "digested", None)  # the shuffle by document
+    assert [r.matched_sentences for r in c.rates.collect()] == [1]
+    assert c.digested.columns == ["doc_id", "idx", "kind", "norm", "units", "shingles"]
+    assert c.library_sentences.inputFiles() == c.digested.inputFiles() and "text" not in c.library_sentences.columns
+    assert c.unstripped.digested is c.digested
+    assert [r.changed for r in c.rewrite_delta("dedup").collect()] == [1]
+
+
 def test_fragments_and_rates(spark):
     """Matched 1 0 1 is one fragment, 1 0 0 1 two; citations count apart."""
     pattern = "1011001" + "0"
