@@ -179,6 +179,13 @@ def test_fragments_and_rates(spark):
     assert report.fragments(df.where("false")).count() == 0 == report.rates(df.where("false")).count()
 
 
+def test_fragments_are_summed_once(spark):
+    """Sources and spans of fragments come from one aggregation: three joins, for texts, spans and totals."""
+    df = spark.createDataFrame([], "doc_id bigint, idx int, start_pos int, end_pos int, text string, units int, source_id bigint, sim double, matched boolean, quote_units int")
+    plan = report.fragments(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join Inner") == 3
+
+
 def test_strip_references_and_html(spark):
     df = spark.createDataFrame([("body\nReferences\n[1] x",), ("a References b",), ("x\n参 考 文 献\ny\nReferences\nz",), (None,)], "t string")
     assert [r[0] for r in df.select(T.strip_references(F.col("t"))).collect()] == ["body\n", "a References b", "x\n参 考 文 献\ny\n", None]
