@@ -495,3 +495,11 @@ def test_every_oracle_has_a_query():
     from scriven.plans import oracle, queries
 
     assert set(oracle.oracle_sql()) <= set(queries.queries())
+
+
+def test_rewriting_steps_are_planned_once(spark):
+    sents = spark.createDataFrame([(1, 0, 0, 9, "We obtain significant results.", "en")], "doc_id bigint, idx int, start_pos int, end_pos int, text string, kind string")
+    scores = spark.createDataFrame([(1, 0, "high")], "doc_id bigint, start_pos int, level string")
+    edits = rewrite.rewrite(sents, spark.createDataFrame([(1, 0, True)], "doc_id bigint, start_pos int, matched boolean"), scores)
+    assert edits.collect()[0].new == "We get notable results."
+    assert edits._jdf.queryExecution().optimizedPlan().toString().count("approximately") == 1
