@@ -497,6 +497,41 @@ def test_every_oracle_has_a_query():
     assert set(oracle.oracle_sql()) <= set(queries.queries())
 
 
+def _library_and_papers(spark):
+    text = "This study shows significant results and numerous individuals use new methods to obtain the quality of research every year. "
+    own = "Rivers carry sand toward the open sea while winter storms slowly move it along the coast again. "
+    docs = spark.createDataFrame([(1, "t", text * 8, True), (2, "u", own * 9, False)], "doc_id bigint, title string, text string, is_builtin boolean")
+    return docs, spark.createDataFrame([(7, text + own * 2 + text)], "doc_id bigint, text string")
+
+
+def test_digests_go_when_matches_are_there(spark):
+    from pathlib import Path
+
+    from scriven.operators import overlap
+    from scriven.plans.check import Check
+
+    c = Check(*_library_and_papers(spark))
+    folder = overlap.folder_of(c.digested).removeprefix("file:")
+    assert c.matches.count() and Path(folder).exists()
+    assert c.sentence_scores.count()
+    assert not Path(folder).exists() and "digested" not in c.__dict__
+    assert c.results.where("matched").count()
+
+
+def test_model_counts_equal_sql(spark):
+    from scriven.operators import lm
+
+    rows = [(1, 0, "en", "one two three a b c d e f g " * 20 + "end"), (1, 1, "zh", "研究a表明" * 3), (2, 0, "zh", "人工智能技术a正在改变人类社会的方方面面" * 12), (2, 1, "en", "b c a one two"), (3, 0, "en", "too short")]
+    library = spark.createDataFrame([(d, i, k, n * (40 if d == 2 and i == 0 else 1)) for d, i, k, n in rows], "doc_id bigint, idx int, kind string, norm string")
+    asked = [("en", "one two three a b c d e f g"), ("en", "a a a a a a a a a"), ("zh", "人工智能技术a正在改变"), ("zh", "短"), ("en", "x1 x2 x3 x4 x5 x6 x7 x8"), ("en", "b c d e f g one"), ("zh", "")]
+    sents = spark.createDataFrame(asked, "kind string, norm string")
+    m = lm.Model(library)
+    new = {r.sid: [round(x, 9) for x in r[1:]] for r in m.sentence_stats(sents).collect()}
+    m.counts = None
+    old = {r.sid: [round(x, 9) for x in r[1:]] for r in m.sentence_stats(sents).collect()}
+    assert len(new) == 4 and new == old
+
+
 def test_rewriting_steps_are_planned_once(spark):
     sents = spark.createDataFrame([(1, 0, 0, 9, "We obtain significant results.", "en")], "doc_id bigint, idx int, start_pos int, end_pos int, text string, kind string")
     scores = spark.createDataFrame([(1, 0, "high")], "doc_id bigint, start_pos int, level string")
