@@ -511,6 +511,7 @@ def test_digests_go_when_matches_are_there(spark):
     from scriven.plans.check import Check
 
     c = Check(*_library_and_papers(spark))
+    c.again = False
     folder = overlap.folder_of(c.digested).removeprefix("file:")
     assert c.matches.count() and Path(folder).exists()
     assert c.sentence_scores.count()
