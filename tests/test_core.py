@@ -245,6 +245,49 @@ def test_web_matches(spark):
     assert got[0] == (1, 1.0) and got[1][0] == 1 and got[1][1] == pytest.approx(0.4, abs=1e-4)
 
 
+def test_best_pages_equal_web_matches(spark, monkeypatch):
+    """The best page of each candidate is that of ``web_matches``, whatever is cut and whichever shingles are a template's; web_verify lists no pairs."""
+    import numpy as np
+    from scriven.operators import overlap
+    from scriven.plans import queries
+    from scriven.session import stored
+
+    rng = random.Random(5)
+    words, frame, signs = [f"w{k}" for k in range(25)], [f"f{k}" for k in range(14)], "天地玄黄宇宙洪荒日月盈昃"
+    en = lambda: " ".join([*frame[: rng.choice((0, 8, 14))], *(rng.choice(words) for _ in range(rng.randint(3, 9)))])
+    zh = lambda: "".join(rng.choice(signs) for _ in range(3)) * rng.randint(4, 6) + "辰宿列张寒来暑往"[: rng.choice((0, 4, 8))]
+    base = [rng.choice((en, zh))() for _ in range(60)]
+    pages = [(k, ". ".join((rng.choice(base) if rng.random() < 0.6 else rng.choice((en, zh))()) for _ in range(8)) + ".") for k in range(60)]
+    texts = [*base, *(zh() for _ in range(10)), *(en() for _ in range(20)), *(b[1:-1] for b in base[:20])]
+    rows = [("p", k, "zh" if t[0] > "z" else "en", t, len(t) if t[0] > "z" else len(t.split(" "))) for k, t in enumerate(texts)]
+    asked = spark.createDataFrame([r for r in rows if r[4] >= (12 if r[2] == "zh" else 8)], "doc_id string, idx int, kind string, norm string, units int")
+    pages = spark.createDataFrame(pages, "doc_id bigint, text string")
+    want = {}
+    for r in web.web_matches(asked, pages).collect():
+        want[r.idx] = max(want.get(r.idx, (0, 0)), (r.sim, -r.page_id))
+    assert len(want) > 40 and len({s for s, _ in want.values()}) > 3
+    got = lambda: {r.idx: (r.sim, -r.page_id) for r in web.best_pages(asked, pages).collect()}
+    assert got() == want
+    cut = asked.select(index.norm_id(F.col("kind"), F.col("norm")).alias("qid"), "idx", "kind", "norm", "units")
+    (b,) = cut.coalesce(1).toArrow().combine_chunks().to_batches()
+    sents = index.sentences(pages).where("units >= 6").coalesce(1).toArrow()
+    near = {r.qid: (r.sim, r.page_id) for r in overlap.nearest_pages(stored(cut), index.sentences(pages).where("units >= 6")).groupBy("qid").agg(F.max("sim").alias("sim"), F.min_by("page_id", F.struct(-F.col("sim"), "page_id")).alias("page_id")).collect()}
+    for least, hits in ((5, 50), (40, 1)):
+        monkeypatch.setattr(overlap, "LEAST", least)
+        monkeypatch.setattr(overlap, "SHARE", 0.0)
+        monkeypatch.setattr(overlap, "HITS", hits)
+        d, sizes = overlap.digests(sents["norm"].to_pylist(), sents["kind"].to_pylist(), sents["units"].to_numpy())
+        ends = np.cumsum(sizes)
+        blocks = [(sents["doc_id"].to_numpy()[k : k + 37], np.arange(len(sizes[k : k + 37])), d[ends[k] - sizes[k] : ends[min(k + 37, len(sizes)) - 1]], sizes[k : k + 37]) for k in range(0, len(sizes), 37)]
+        (block,) = overlap._held([b], 4)
+        q = overlap._Queries(*block, 1)
+        best, page = q.nearest(blocks)
+        assert len(q.heavy) and {i: (s / 10**4, p) for i, s, p in zip(q.ids.tolist(), best.tolist(), page.tolist(), strict=True) if s >= 0} == near
+    monkeypatch.undo()
+    monkeypatch.setattr(web, "web_matches", None)
+    queries.queries()["web_verify"](spark, "/root/testdata/sf0.001").count()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("héllo", encoding="utf-8")
     (tmp_path / "b.md").write_bytes("中文".encode("gb18030"))
