@@ -151,6 +151,36 @@ def test_similarities_are_counted_without_pairs(spark, tmp_path, monkeypatch):
     assert queries.queries()["blended_similarity"](spark, "/root/testdata/sf0.001").count()
 
 
+def test_recall_lists_pairs_where_they_arise(spark, tmp_path, monkeypatch):
+    """The rows are those of the table of pairs, whatever is cut; the query has no such table."""
+    from scriven.operators import overlap
+    from scriven.plans import queries
+
+    rng = random.Random(9)
+    words, frame = [f"w{k}" for k in range(30)], [f"f{k}" for k in range(9)]
+    line = lambda: " ".join([*frame[: rng.choice((0, 7, 9))], *(rng.choice(words) for _ in range(rng.randint(2, 9)))])
+    base = [line() for _ in range(40)]
+    text = lambda: " ".join((rng.choice(base) if rng.random() < 0.5 else line()) + "." for _ in range(6))
+    docs = spark.createDataFrame([(k, text()) for k in range(30)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(k, text()) for k in range(10)], "doc_id bigint, text string")
+    library, query = index.library_sentences(index.sentences(docs)), index.sentences(asked)
+    norms = lambda s, n, m: s.select(index.norm_id(F.col("kind"), F.col("norm")).alias(n), F.col("norm").alias(m)).distinct()
+    pairs = similarity.candidates(query, library, docs).join(norms(query, "qid", "query"), "qid").join(norms(library, "cid", "candidate"), "cid")
+    rows = lambda df: sorted(tuple(r) for r in df.select("query", "candidate", "hits", "containment", "coverage").collect())
+    want = rows(pairs.withColumn("containment", T.rounded(F.col("containment"), 6)).withColumn("coverage", T.rounded(F.col("coverage"), 6)))
+    assert len(want) > 300 and rows(overlap.listed(query, library, docs)) == want
+    told = overlap.with_digests(library).withColumn("cid", index.norm_id(F.col("kind"), F.col("norm")))
+    told.coalesce(1).write.parquet(str(tmp_path / "told"))
+    (batch,) = overlap._classes(query).coalesce(1).toArrow().combine_chunks().to_batches()
+    for name, value in (("SENTENCES", 33), ("HITS", 20), ("LISTED", 3)):
+        monkeypatch.setattr(overlap, name, value)
+    ((*block, norm),) = overlap._held([batch], norms=True)
+    got = [b for b in overlap._Queries(*block, 30).pairs(str(tmp_path / "told"), overlap._leads(str(tmp_path / "told")), norm)]
+    assert sorted(tuple(r.values()) for b in got for r in b.to_pylist()) == want
+    monkeypatch.setattr(similarity, "candidates", None)
+    assert queries.queries()["recall_candidates"](spark, "/root/testdata/sf0.001").count()
+
+
 def test_check_writes_the_library_once(spark, monkeypatch):
     """Sentences and digests of a library are one stored table without texts, and the checks that rewriting makes share it."""
     from scriven.operators import overlap
