@@ -577,6 +577,19 @@ def _library_and_papers(spark):
     return docs, spark.createDataFrame([(7, text + own * 2 + text)], "doc_id bigint, text string")
 
 
+def test_report_parts_are_made_one_by_one(spark):
+    """What a report and its page are put together of is stored: neither plan reads sentences any more."""
+    from scriven.plans.check import Check
+
+    text = "This study shows significant results and numerous individuals use new methods to obtain the quality of research every year. "
+    docs = spark.createDataFrame([(1, "t", text * 2, 0)], "doc_id bigint, title string, text string, is_builtin int")
+    for make in (Check.full_report, Check.html_report):
+        c = Check(docs, spark.createDataFrame([("p", text * 2)], "doc_id string, text string"))
+        out = make(c)
+        assert c.sentences.inputFiles() and not {*out.inputFiles()} & {*c.sentences.inputFiles(), *c.sentence_scores.inputFiles(), *c.matches.inputFiles()}
+        assert text[:40] in out.first()[1]
+
+
 def test_digests_go_when_matches_are_there(spark):
     from pathlib import Path
 
