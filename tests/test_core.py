@@ -527,6 +527,28 @@ def test_rewriting_measures_reference_sections_alike(spark):
     assert "Nothing here was written" in html["plain"] and "<td>manual</td>" in html["plain"]
 
 
+def test_rewriting_is_measured_in_one_mode_after_another(spark):
+    """Tables of one mode go with it; those that the next mode reads too, also after digests have gone, stay."""
+    from scriven.operators import rewrite
+    from scriven.plans.check import Check
+
+    copied = "This study shows significant results and numerous individuals use new methods to obtain the quality of research every year. "
+    docs = spark.createDataFrame([(1, "t", copied * 2 + "Filler words make this document longer than others are. " * 3, 0)], "doc_id bigint, title string, text string, is_builtin int")
+    rows = [("with", "Some opening line that nobody wrote before.\nReferences\n" + copied), ("plain", "Nothing here was written anywhere else at all before now.")]
+    papers = spark.createDataFrame(rows, "doc_id string, text string")
+    plain = Check(docs, papers, strip=False)
+    dup, machine = ({r.doc_id: r.total_rate for r in t.collect()} for t in (plain.rates, plain.machine_rates))
+    c = Check(docs, papers)
+    c.again = False
+    c.edits().collect()
+    found = [c.rewrite_delta(mode) for mode in rewrite.MODES]
+    for mode, delta in zip(rewrite.MODES, found, strict=True):
+        rows = {r.doc_id: r for r in delta.collect()}
+        assert {k: r.dup_before for k, r in rows.items()} == (dict.fromkeys(dup) if mode == "humanize" else dup)
+        assert {k: r.machine_before for k, r in rows.items()} == (dict.fromkeys(machine) if mode == "dedup" else machine)
+        assert all((r.dup_after is None) == (mode == "humanize") and (r.machine_after is None) == (mode == "dedup") for r in rows.values())
+
+
 def _sql_names():
     """Queries to compare: those that are a step or a sum of another one of the list are left to the driver, for time."""
     from scriven.plans import oracle
