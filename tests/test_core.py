@@ -527,6 +527,23 @@ def test_rewriting_measures_reference_sections_alike(spark):
     assert "Nothing here was written" in html["plain"] and "<td>manual</td>" in html["plain"]
 
 
+def test_listed_pairs_of_a_candidate_follow_each_other(spark, tmp_path):
+    """Written in runs, the candidates' texts take few bytes of the result."""
+    from scriven.operators import overlap
+
+    rng = random.Random(5)
+    line = lambda: " ".join(["these words stand in every line", *(f"w{rng.randint(0, 50)}" for _ in range(6))]) + "."
+    docs = spark.createDataFrame([(k, " ".join(line() for _ in range(4))) for k in range(20)], "doc_id bigint, text string")
+    library = index.library_sentences(index.sentences(docs))
+    told = overlap.with_digests(library).withColumn("cid", index.norm_id(F.col("kind"), F.col("norm")))
+    told.coalesce(1).write.parquet(str(tmp_path / "told"))
+    (batch,) = overlap._classes(library).coalesce(1).toArrow().combine_chunks().to_batches()
+    ((*block, norm),) = overlap._held([batch], norms=True)
+    found = [x for b in overlap._Queries(*block, 20).pairs(str(tmp_path / "told"), overlap._leads(str(tmp_path / "told")), norm) for x in b["candidate"].to_pylist()]
+    runs = 1 + sum(a != b for a, b in zip(found, found[1:], strict=False))
+    assert len(found) > 20 * runs and runs == len(set(found))
+
+
 def test_rewriting_is_measured_in_one_mode_after_another(spark):
     """Tables of one mode go with it; those that the next mode reads too, also after digests have gone, stay."""
     from scriven.operators import rewrite
